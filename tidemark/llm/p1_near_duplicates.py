@@ -26,15 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textsim import codes, mix, normal_texts, verified
+from tidemark.llm.textsim import MAX_BITS, bit_sketch, gram_codes, multipliers, normal_texts, verified
 from tidemark.plans.staging import stage
 
 THRESHOLD = 0.70
 RADIUS, FAMILIES, COORDINATES = 2, 3, 10
 #: The columns m(i) of the code of each family: all masks keep 5 to 7 of the ten coordinates.
 COLUMNS = (1, 6, 5, 1, 7, 5, 2, 3, 7, 4)
-#: Bits of 64 that may differ.  At similarity 0.70 each differs with probability 0.15: 9.6 expected, 2.9 deviation.
-MAX_BITS = 20
 
 
 def masks(columns: tuple[int, ...] = COLUMNS, radius: int = RADIUS) -> list[list[int]]:
@@ -42,49 +40,25 @@ def masks(columns: tuple[int, ...] = COLUMNS, radius: int = RADIUS) -> list[list
     return [[i for i, m in enumerate(columns) if (m & v).bit_count() & 1] for v in range(1, 1 << (radius + 1))]
 
 
-def sketch(texts: list[str], families: int = FAMILIES, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
-    """Minhash values (int32, families * coordinates a text) and 64 one-bit minhashes (int64) of each text."""
-    points, at = codes(texts)
-    with np.errstate(over="ignore"):
-        gram = mix((points[:-2] * np.uint64(0x1F123BB5) + points[1:-1]) * np.uint64(0x5851F42D) + points[2:] + np.uint64(1))
-    # The two grams before each border reach into the next text: give them the value that loses every minimum.
-    border = np.concatenate([at[1:-1] - 1, at[1:-1] - 2]).astype(np.int64)
-    start = at[:-1]
-    n = families * coordinates
-    rng = np.random.default_rng(20240229)
-    odd = rng.integers(1, 1 << 62, n + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 62, n + 1, dtype=np.uint64)
+def minhashes(texts: list[str], n: int) -> np.ndarray:
+    """n minhash values (int32) of the three-character set of each text."""
+    gram, start, border = gram_codes(texts)
+    odd, plus = multipliers(n)
     out = np.empty((len(texts), n), np.int32)
     with np.errstate(over="ignore"):
         for c in range(n):
             h = ((gram * odd[c] + plus[c]) >> np.uint64(32)).astype(np.uint32)
             h[border] = 0xFFFFFFFF
             out[:, c] = np.minimum.reduceat(h, start).view(np.int32)
-        # One-bit minhashes by one permutation: the bin is six bits of the hash, the rest competes in the bin.
-        h = mix(gram * odd[n] + plus[n])
-    bin_of = (h & np.uint64(63)).astype(np.int64)
-    value = (h >> np.uint64(6)).astype(np.uint32)
-    value[border] = 0xFFFFFFFF
-    text_of = np.repeat(np.arange(len(texts)), np.diff(at))[:-2]
-    low = np.full(len(texts) * 64, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(low, text_of * 64 + bin_of, value)
-    low = low.reshape(-1, 64)
-    for step in (1, 2, 4, 8, 16, 32):  # an empty bin borrows from a neighbour
-        empty = low == 0xFFFFFFFF
-        if not empty.any():
-            break
-        low = np.where(empty, np.roll(low, -step, axis=1), low)
-    bits = ((low * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint64)
-    packed = (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
-    return out, packed
+    return out
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         for i in range(0, len(x), 4000):
             part = x.iloc[i : i + 4000]
-            values, bits = sketch(list(part.text))
-            yield pd.DataFrame({"field": part.field.values, "h": part.h.values, "bits": bits, "sketch": list(values)})
+            texts = list(part.text)
+            yield pd.DataFrame({"field": part.field.values, "h": part.h.values, "bits": bit_sketch(texts), "sketch": list(minhashes(texts, FAMILIES * COORDINATES))})
 
 
 def _keys(families: int, columns: tuple[int, ...]) -> Column:

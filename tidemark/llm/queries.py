@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import p1_near_duplicates as p1
+from tidemark.llm import p4_split_overlap as p4
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,9 @@ def queries() -> dict[str, Query]:
     """Name to query; each runs over its whole tables with production parameters."""
     return {
         "p1_found": lambda s, d: p1.found(table(s, d, "source_video_atom")),
+        "p4_found": lambda s, d: p4.found(table(s, d, "source_video_atom")),
+        "p4_report": lambda s, d: p4.report(table(s, d, "source_video_atom")),
+        "p4_coverage": lambda s, d: p4.coverage(table(s, d, "source_video_atom")),
     }
 
 
