@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.plans import interval_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES, Query, query
 from tidemark.sources.tables import table
 
