@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_CHARS = 60
-#: Bits of 64 that may differ.  At similarity 0.70 each differs with probability 0.15: 9.6 expected, 2.9 deviation.
-MAX_BITS = 20
+#: Bits of 64 that may differ.  At similarity 0.76 each differs with probability 0.12: 7.7 expected, 2.6 deviation.
+MAX_BITS = 15
 
 
 def normal(text: str) -> str:
@@ -66,29 +66,30 @@ def multipliers(n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bit_sketch(texts: list[str]) -> np.ndarray:
-    """64 one-bit minhashes (int64) of each text, by one permutation.
+    """64 one-bit minhashes (int64) of each text, 32 by each of two permutations.
 
-    Six bits of a gram's hash are its bin, the rest competes for the minimum of the bin, and one bit
+    Five bits of a gram's hash are its bin, the rest competes for the minimum of the bin, and one bit
     of the minimum is kept.
     """
     gram, start, border = gram_codes(texts)
-    odd, plus = multipliers(1, 77)
-    with np.errstate(over="ignore"):
-        h = mix(gram * odd[0] + plus[0])
-    bin_of = (h & np.uint64(63)).astype(np.int64)
-    value = (h >> np.uint64(6)).astype(np.uint32)
-    value[border] = 0xFFFFFFFF
-    text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(start, len(gram))))
-    low = np.full(len(texts) * 64, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(low, text_of * 64 + bin_of, value)
-    low = low.reshape(-1, 64)
-    for step in (1, 2, 4, 8, 16, 32):  # an empty bin borrows from a neighbour
-        empty = low == 0xFFFFFFFF
-        if not empty.any():
-            break
-        low = np.where(empty, np.roll(low, -step, axis=1), low)
-    bits = ((low * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint64)
-    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(start, len(gram)))) * 32
+    out = np.zeros(len(texts), np.uint64)
+    for part, (odd, plus) in enumerate(zip(*multipliers(2, 77))):
+        with np.errstate(over="ignore"):
+            h = mix(gram * odd + plus)
+        value = (h >> np.uint64(6)).astype(np.uint32)
+        value[border] = 0xFFFFFFFF
+        low = np.full(len(texts) * 32, 0xFFFFFFFF, np.uint32)
+        np.minimum.at(low, text_of + (h & np.uint64(31)).astype(np.int64), value)
+        low = low.reshape(-1, 32)
+        for step in (1, 2, 4, 8, 16):  # an empty bin borrows from a neighbour
+            empty = low == 0xFFFFFFFF
+            if not empty.any():
+                break
+            low = np.where(empty, np.roll(low, -step, axis=1), low)
+        bits = ((low * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint64)
+        out |= (bits << np.arange(part * 32, part * 32 + 32, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return out.view(np.int64)
 
 
 def grams(text: str) -> set[str]:
