@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import p1_near_duplicates as p1
+from tidemark.llm import p3_nearest_time as p3
 from tidemark.llm import p4_split_overlap as p4
+from tidemark.llm import p7_confusables as p7
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +19,17 @@ def queries() -> dict[str, Query]:
     """Name to query; each runs over its whole tables with production parameters."""
     return {
         "p1_found": lambda s, d: p1.found(table(s, d, "source_video_atom")),
+        "p3_found": lambda s, d: p3.found(table(s, d, "segments"), table(s, d, "source_video_atom")),
+        "p3_matches": lambda s, d: p3.matches(table(s, d, "segments"), table(s, d, "source_video_atom")),
         "p4_found": lambda s, d: p4.found(table(s, d, "source_video_atom")),
         "p4_report": lambda s, d: p4.report(table(s, d, "source_video_atom")),
         "p4_coverage": lambda s, d: p4.coverage(table(s, d, "source_video_atom")),
+        "p7_found": lambda s, d: p7.found(table(s, d, "cue_v2"), table(s, d, "source_video_atom"), table(s, d, "cue_value_ref")),
+        "p7_consistent": lambda s, d: p7.consistent(table(s, d, "cue_v2"), table(s, d, "source_video_atom")),
+        "p7_groups": lambda s, d: p7.groups(table(s, d, "cue_v2")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins; operators that SQL cannot express are tested in tests/llm instead."""
-    return {}
+    return {"p3_found": p3.SQL}
