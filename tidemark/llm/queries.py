@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import p1_near_duplicates as p1
 from tidemark.llm import p3_nearest_time as p3
 from tidemark.llm import p4_split_overlap as p4
+from tidemark.llm import p5_group_split as p5
 from tidemark.llm import p7_confusables as p7
 from tidemark.sources.tables import table
 
@@ -24,6 +25,8 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: p4.found(table(s, d, "source_video_atom")),
         "p4_report": lambda s, d: p4.report(table(s, d, "source_video_atom")),
         "p4_coverage": lambda s, d: p4.coverage(table(s, d, "source_video_atom")),
+        "p5_found": lambda s, d: p5.torn_groups(table(s, d, "source_video_atom")),
+        "p5_assignment": lambda s, d: p5.assignment(table(s, d, "source_video_atom")),
         "p7_found": lambda s, d: p7.found(table(s, d, "cue_v2"), table(s, d, "source_video_atom"), table(s, d, "cue_value_ref")),
         "p7_consistent": lambda s, d: p7.consistent(table(s, d, "cue_v2"), table(s, d, "source_video_atom")),
         "p7_groups": lambda s, d: p7.groups(table(s, d, "cue_v2")),
