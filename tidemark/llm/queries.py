@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import p1_near_duplicates as p1
+from tidemark.llm import p2_speaker_turns as p2
 from tidemark.llm import p3_nearest_time as p3
 from tidemark.llm import p4_split_overlap as p4
 from tidemark.llm import p5_group_split as p5
@@ -20,6 +21,8 @@ def queries() -> dict[str, Query]:
     """Name to query; each runs over its whole tables with production parameters."""
     return {
         "p1_found": lambda s, d: p1.found(table(s, d, "source_video_atom")),
+        "p2_found": lambda s, d: p2.found(*(table(s, d, t) for t in ("source_video_atom", "speaker_roster", "filler_ref"))),
+        "p2_turns": lambda s, d: p2.turns(*(table(s, d, t) for t in ("source_video_atom", "speaker_roster", "filler_ref"))),
         "p3_found": lambda s, d: p3.found(table(s, d, "segments"), table(s, d, "source_video_atom")),
         "p3_matches": lambda s, d: p3.matches(table(s, d, "segments"), table(s, d, "source_video_atom")),
         "p4_found": lambda s, d: p4.found(table(s, d, "source_video_atom")),
