@@ -12,6 +12,8 @@ from tidemark.llm import p3_nearest_time as p3
 from tidemark.llm import p4_split_overlap as p4
 from tidemark.llm import p5_group_split as p5
 from tidemark.llm import p7_confusables as p7
+from tidemark.llm import p8_encoding as p8
+from tidemark.llm import p9_packing as p9
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,10 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: p7.found(table(s, d, "cue_v2"), table(s, d, "source_video_atom"), table(s, d, "cue_value_ref")),
         "p7_consistent": lambda s, d: p7.consistent(table(s, d, "cue_v2"), table(s, d, "source_video_atom")),
         "p7_groups": lambda s, d: p7.groups(table(s, d, "cue_v2")),
+        "p8_ids": lambda s, d: p8.encode(table(s, d, "documents")),
+        "p8_decoded": lambda s, d: p8.decode(p8.encode(table(s, d, "documents"))),
+        "p9_containers": lambda s, d: p9.containers(table(s, d, "documents")),
+        "p9_report": lambda s, d: p9.report(table(s, d, "documents")),
     }
 
 
