@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import p1_near_duplicates as p1
+from tidemark.llm import p10_subjects as p10
 from tidemark.llm import p2_speaker_turns as p2
 from tidemark.llm import p3_nearest_time as p3
 from tidemark.llm import p4_split_overlap as p4
@@ -17,6 +18,7 @@ from tidemark.llm import p9_packing as p9
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_P10 = ("documents", "subject_label", "subject_ref", "speaker_roster")
 
 
 def queries() -> dict[str, Query]:
@@ -39,6 +41,9 @@ def queries() -> dict[str, Query]:
         "p8_decoded": lambda s, d: p8.decode(p8.encode(table(s, d, "documents"))),
         "p9_containers": lambda s, d: p9.containers(table(s, d, "documents")),
         "p9_report": lambda s, d: p9.report(table(s, d, "documents")),
+        "p10_found": lambda s, d: p10.found(*(table(s, d, t) for t in _P10)),
+        "p10_shares": lambda s, d: p10.shares(*(table(s, d, t) for t in _P10)),
+        "p10_composition": lambda s, d: p10.composition(*(table(s, d, t) for t in _P10)),
     }
 
 
