@@ -75,13 +75,15 @@ def canonical_json(value: str) -> str:
 
 
 def mapped(f: Callable[[str], object], kind: str = "string") -> Callable[[Column | str], Column]:
-    """A column function from a function of one string, by Arrow batches."""
+    """A column function from a function of one string, by Arrow batches; made when it is first used."""
 
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else f(v))
+    def column(c: Column | str) -> Column:
+        def run(values: pd.Series) -> pd.Series:
+            return values.map(lambda v: None if v is None else f(v))
 
-    return run
+        return F.pandas_udf(run, kind)(c)
+
+    return column
 
 
 nfkc_casefold = mapped(fold)
@@ -92,10 +94,13 @@ char_ngrams = mapped(ngrams, "array<string>")
 canonical = mapped(canonical_json)
 
 
-@F.pandas_udf("string")
-def evidence_span(source: pd.Series, evidence: pd.Series) -> pd.Series:
+def evidence_span(source: Column | str, evidence: Column | str) -> Column:
     """Column form of evidence_slice."""
-    return pd.Series([evidence_slice(s, e) for s, e in zip(source, evidence)], dtype="object")
+
+    def run(s: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([evidence_slice(a, b) for a, b in zip(s, e)], dtype="object")
+
+    return F.pandas_udf(run, "string")(source, evidence)
 
 
 def collapse(column: Column | str) -> Column:
