@@ -39,7 +39,7 @@ REF_LIMIT = 50_000
 MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.MULTILINE)
 LEAD = re.compile(r"^[ \t]*(?:[-*•][ \t]+(?:-[ \t]+)*|\d+[.)][ \t]+|\[[\d:.]+\][ \t]*(?:[^\W\d_]+[ \t]?:)?|D\d+[ \t]+\d+:\d+[ \t]*\|)", re.MULTILINE | re.IGNORECASE)
-BREAK = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+|(?<=[。！？])[”」』]*\s*|\x1e")
+BREAK = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+|(?<=[。！？])[”」』]*\s*|(?<=[㐀-鿿][.!?])\s*(?=[㐀-鿿])|\x1e")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 CJK = re.compile(r"([㐀-鿿])")
 
