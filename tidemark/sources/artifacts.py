@@ -69,7 +69,11 @@ def _read_text(spark: SparkSession, path: str) -> str:
     fs, where = _fs(spark, path)
     if not fs.exists(where):
         raise GateError(f"no marker at {path}")
-    return "".join(r[0] + "\n" for r in spark.read.text(path).collect())
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @dataclass

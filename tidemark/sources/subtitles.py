@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,12 @@ def discover(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
         where = hadoop.fs.Path(root)
         if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+        scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        # The scan leaves out files without a byte; the index that it made on the driver has them.
+        listed = spark.createDataFrame([(unquote(p),) for p in scan.inputFiles()], "path string")
+        sized = scan.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
+        listed = listed.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+        files = listed.join(sized, "path", "left").select(F.regexp_replace("path", "^file:///", "file:/").alias("path"), F.coalesce("length", F.lit(0)).cast("bigint").alias("length"))
         base = root.rstrip("/").rpartition("/")[0]
         relative = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
         part = files.where(F.lower("path").endswith(".srt")).select(F.lit(modality).alias("modality"), relative.alias("relative_path"), F.col("length").alias("file_size_bytes"), "path")
