@@ -1,8 +1,8 @@
 """Exact set-similarity self-join: all pairs with a Jaccard similarity at or above a threshold.
 
 Prefix filter over the global order of tokens by (document frequency, token): two sets whose
-similarity reaches the threshold share a token among the first n - ceil(t n) + 1 of each.  No pair is
-approximated away; candidates are verified on the whole sets.
+similarity reaches the threshold share a token among the first n - ceil(t n) + 1 of each, and the
+places of the shared ones bound how many they can share in all.  No pair is approximated away; candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import stage
+
 
 def set_similarity_pairs(rows: DataFrame, key: str, tokens: str, threshold: str = "0.92", block: list[str] | None = None, differ: str | None = None) -> DataFrame:
     """key_1 < key_2, n_both, n_union: pairs of rows with equal block columns and different `differ`.
@@ -23,13 +25,15 @@ def set_similarity_pairs(rows: DataFrame, key: str, tokens: str, threshold: str
     num, den = t.numerator, t.denominator
     block = block or []
     some = rows.select(F.col(key).alias("k"), *block, *([F.col(differ).alias("_differ")] if differ else []), F.array_distinct(tokens).alias("set")).where(F.size("set") > 0)
-    sized = some.withColumn("n", F.size("set"))
+    # Read four times below: written once, so that the sets are not made again each time.
+    sized = stage(some.withColumn("n", F.size("set")), "sets")
     each = sized.select("k", "n", *block, *(["_differ"] if differ else []), F.explode("set").alias("token"))
     frequency = each.groupBy("token").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("k").orderBy("df", "token"))
     # ceil(num * n / den) without floating point.
     prefix = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
-    heads = each.join(frequency, "token").withColumn("at", order).where(F.col("at") <= prefix).drop("df", "at")
+    heads = each.join(frequency, "token").withColumn("at", order).where(F.col("at") <= prefix).drop("df")
+    heads = stage(heads, "heads")
     a, b = heads.alias("a"), heads.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.k") < F.col("b.k"))
     for c in block:
@@ -38,7 +42,10 @@ def set_similarity_pairs(rows: DataFrame, key: str, tokens: str, threshold: str
         on &= F.col("a._differ") != F.col("b._differ")
     # The sizes alone rule a pair out when the smaller is less than t times the larger.
     on &= (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
-    met = a.join(b, on).select(F.col("a.k").alias("key_1"), F.col("b.k").alias("key_2")).distinct()
+    met = a.join(b, on).groupBy(F.col("a.k").alias("key_1"), F.col("b.k").alias("key_2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"))
+    # Up to their last shared prefix token the sets share c tokens, behind it at most what is left of either.
+    can = F.col("c") + F.least(F.col("n1") - F.col("i"), F.col("n2") - F.col("j"))
+    met = met.where(can * (den + num) >= (F.col("n1") + F.col("n2")) * num).select("key_1", "key_2")
     sets = sized.select("k", "set", "n")
     both = met.join(sets.select(F.col("k").alias("key_1"), F.col("set").alias("s1"), F.col("n").alias("n1")), "key_1").join(
         sets.select(F.col("k").alias("key_2"), F.col("set").alias("s2"), F.col("n").alias("n2")), "key_2"

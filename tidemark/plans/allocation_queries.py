@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import lower_collapse
+from tidemark.functions.text import char_ngrams, lower_collapse
 from tidemark.operators.allocate import allocate_by_deficit, alternate, greedy_disjoint, greedy_packages, hash_sample, largest_remainder, numbered, quota_sample, shard_numbers
 from tidemark.operators.graph import connected_components
 from tidemark.operators.setsim import set_similarity_pairs
 from tidemark.plans.registry import query
+from tidemark.plans.staging import spread
 from tidemark.sources.tables import table
 
 _GRAMS = """n AS (SELECT DISTINCT atom_id, participant_source_id, session_id, trim(regexp_replace(lower(dense_caption), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS x
@@ -17,10 +18,8 @@ g AS (SELECT atom_id, participant_source_id, session_id, list_distinct(CASE WHEN
 
 
 def _grams(spark, d):
-    s = table(spark, d, "source_video_atom").where("dense_caption is not null").select("atom_id", "participant_source_id", "session_id", lower_collapse("dense_caption").alias("x")).where("x <> ''").dropDuplicates(["atom_id"])
-    # Character windows by a built-in expression: the text is short and stays in the JVM.
-    grams = F.when(F.length("x") < 3, F.array("x")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length("x") - 2, F.lit(1))), lambda i: F.substring(F.col("x"), i, F.lit(3))))
-    return s.select("atom_id", "participant_source_id", "session_id", grams.alias("grams"))
+    s = spread(table(spark, d, "source_video_atom")).where("dense_caption is not null").select("atom_id", "participant_source_id", "session_id", lower_collapse("dense_caption").alias("x")).where("x <> ''").dropDuplicates(["atom_id"])
+    return s.select("atom_id", "participant_source_id", "session_id", char_ngrams("x").alias("grams"))
 
 
 @query(

@@ -32,3 +32,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, before work that is heavy for its bytes.
+
+    A scan of few, small files has few partitions and would leave cores idle; a scan that is split
+    enough, as any large one is, stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
