@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.confusables import skeleton
+from tidemark.plans.staging import spread
 
 SHARE, MIN_SENTENCES = 0.3, 3
 TRAIN_PER_LANG, TRAIN_MAX = 2_500, 6_000
@@ -229,7 +230,7 @@ def shares(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster
                 )
 
     columns = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", "doc_type", "participant_source_id").where("text is not null")
-    return columns.mapInArrow(run, "doc_id bigint, n_sentences int, subject string, share double")
+    return spread(columns).mapInArrow(run, "doc_id bigint, n_sentences int, subject string, share double")
 
 
 def found(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster: DataFrame) -> DataFrame:

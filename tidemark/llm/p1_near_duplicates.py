@@ -30,7 +30,7 @@ from tidemark.llm.textsim import MAX_BITS, bit_sketch, gram_codes, multipliers,
 from tidemark.plans.staging import stage
 
 THRESHOLD = 0.70
-RADIUS, FAMILIES, COORDINATES = 2, 3, 10
+RADIUS, FAMILIES, COORDINATES = 2, 4, 10
 #: The columns m(i) of the code of each family: all masks keep 5 to 7 of the ten coordinates.
 COLUMNS = (1, 6, 5, 1, 7, 5, 2, 3, 7, 4)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokenizer
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import spread, stage
 
 CHUNK_CHARS = 3_000_000
 
@@ -76,7 +76,7 @@ def chunked(documents: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
                 chars += len(text) + 1
         yield from out()
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "chunk bigint, doc_ids array<bigint>, lengths binary, codes binary, place int, word string")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, "chunk bigint, doc_ids array<bigint>, lengths binary, codes binary, place int, word string")
 
 
 def word_table(words: DataFrame, folder: str = tokenizer.FOLDER, name: str = tokenizer.BYTE_BPE) -> DataFrame:

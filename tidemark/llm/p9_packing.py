@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokenizer
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import spread, stage
 
 CAPACITY = 2_048
 SHARD_ITEMS = 6_000
@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, folder: str = tokenizer.FOLDER, name: str
                 out.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens int")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, n_tokens int")
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:

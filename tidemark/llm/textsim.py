@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import spread
+
 MIN_CHARS = 60
 #: Bits of 64 that may differ.  At similarity 0.76 each differs with probability 0.12: 7.7 expected, 2.6 deviation.
 MAX_BITS = 15
@@ -125,7 +127,7 @@ def normal_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 names=[*keep, "h", "text"],
             )
 
-    return kept.mapInArrow(run, ddl)
+    return spread(kept).mapInArrow(run, ddl)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
