@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import stage
+
 
 def largest_remainder(counts: DataFrame, keys: list[str], count: str, target: int, tie: str | None = None) -> DataFrame:
     """counts with quota: target shared out in proportion to count by largest remainders.
@@ -54,7 +56,9 @@ def quota_sample(rows: DataFrame, strata: list[str], key: str, seed: str, target
     for s in strata:
         same = F.col(s).eqNullSafe(F.col(f"_q_{s}"))
         on = same if on is None else on & same
-    ranked = rows.withColumn("sample_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(hash_order(seed, key), key)))
+    # No quota is larger than the largest: with that bound each partition is pruned before the shuffle.
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    ranked = hash_sample(rows, strata, key, seed, most)
     return ranked.join(quotas, on).where(F.col("sample_rank") <= F.col("quota")).drop(*[f"_q_{s}" for s in strata])
 
 
@@ -62,9 +66,10 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataF
     """rows with their position from 0 in a total order, without one task seeing all rows.
 
     Rows are range-partitioned and sorted, and each partition begins where the sum of the ones before
-    it ends.  `order` must be a total order.
+    it ends.  `order` must be a total order.  The partitioned rows are written once: borders are
+    sampled, and made again they might fall elsewhere.
     """
-    ordered = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ordered = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     sized = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sized.select("_part", before.alias("_before"))
@@ -149,8 +154,6 @@ def greedy_disjoint(rows: DataFrame, key: str, order: list[str], items: str) ->
     shares an item with it is rejected, and rejected once one of these is accepted.  Each round looks
     only at the first undecided row of each item; every round decides at least the first of all.
     """
-    from tidemark.plans.staging import stage
-
     ranked = numbered(rows.select(key, *order, items), [*order, key], "_rank").select(key, "_rank", F.explode(items).alias("_item"))
     open_rows = stage(ranked.distinct(), "disjoint")
     accepted = None
