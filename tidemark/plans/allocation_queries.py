@@ -82,8 +82,8 @@ def _strata_rows(spark, d):
 
 @query(
     "largest_remainder",
-    f"""WITH s AS ({_STRATA}), t AS (SELECT *, CAST(n * 900 // sum(n) OVER () AS BIGINT) AS base, n * 900 % sum(n) OVER () AS rest FROM s),
-        r AS (SELECT *, 900 - sum(base) OVER () AS spare, row_number() OVER (ORDER BY rest DESC, least, split, participant, coverage) AS k FROM t)
+    f"""WITH s AS (SELECT *, CAST(least(900, sum(n) OVER ()) AS BIGINT) AS goal FROM ({_STRATA})), t AS (SELECT *, CAST(n * goal // sum(n) OVER () AS BIGINT) AS base, n * goal % sum(n) OVER () AS rest FROM s),
+        r AS (SELECT *, goal - sum(base) OVER () AS spare, row_number() OVER (ORDER BY rest DESC, least, split, participant, coverage) AS k FROM t)
         SELECT split, participant, coverage, n, CAST(base + CASE WHEN k <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""",
 )
 def largest_remainder_quotas(spark, d):

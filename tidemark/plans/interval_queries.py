@@ -10,7 +10,7 @@ from tidemark.sources.tables import table
 
 _ISLANDS = """
 WITH w AS (
-  SELECT session_id, CAST(round(normalized_start_sec * 1000) AS BIGINT) AS s, CAST(round(normalized_end_sec * 1000) AS BIGINT) AS e
+  SELECT DISTINCT session_id, CAST(round(normalized_start_sec * 1000) AS BIGINT) AS s, CAST(round(normalized_end_sec * 1000) AS BIGINT) AS e
   FROM source_video_atom WHERE session_id IS NOT NULL AND NOT isnan(normalized_start_sec) AND NOT isnan(normalized_end_sec)),
 m AS (
   SELECT session_id, s, e, max(e) OVER (PARTITION BY session_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
