@@ -51,6 +51,28 @@ def test_pairs_equal_brute_force(spark, texts):
     assert sure <= got
 
 
+def test_groups_are_the_components_of_the_pairs(spark, texts):
+    data = [(f"a{i:03d}", t, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data + data[:4], "atom_id string, dense_caption string, transcript string")
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _, a, b in (tuple(r) for r in p1.found(df).collect()):
+        parent[find(b)] = find(a)
+    want = {}
+    for x in list(parent):
+        want.setdefault(find(x), set()).add(x)
+    got = {}
+    for r in p1.groups(df).collect():
+        got.setdefault(r.group_id, set()).add(r.atom_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_every_pair_within_the_radius_collides():
     masks = p1.masks()
     from itertools import combinations

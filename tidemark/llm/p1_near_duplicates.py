@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textsim import MAX_BITS, bit_sketch, gram_codes, multipliers, normal_texts, verified
+from tidemark.operators.graph import connected_components
 from tidemark.plans.staging import stage
 
 THRESHOLD = 0.70
@@ -109,3 +110,23 @@ def found(atoms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = members.groupBy("h").count().where("count > 1").select(F.col("h").alias("h1"), F.col("h").alias("h2"))
     pairs = links.select("h1", "h2").union(shared).join(a, "h1").join(b, "h2").where((F.col("field") == F.col("field_b")) & ((F.col("h1") != F.col("h2")) | (F.col("x") < F.col("y"))))
     return pairs.select("field", F.least("x", "y").alias("atom_id_1"), F.greatest("x", "y").alias("atom_id_2")).where("atom_id_1 <> atom_id_2").distinct()
+
+
+def groups(atoms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """field, atom_id, group_id, n_links: a row for each atom whose field repeats that of another.
+
+    group_id names the group by its smallest text; n_links counts the different texts of the field
+    that the atom's text is linked to.  Copies are members, not links, so a group of copies of any
+    size costs one row each.
+    """
+    links, members = near_duplicates(atoms, threshold)
+    held = members.select("field", "h").distinct()
+    both = links.select("h1", "h2").join(held.withColumnRenamed("h", "h1"), "h1").join(held.select(F.col("field").alias("other"), F.col("h").alias("h2")), "h2").where("field = other")
+    node = lambda h: F.concat_ws(":", F.col("field"), F.col(h).cast("string"))
+    edges = stage(both.select(node("h1").alias("u"), node("h2").alias("v")), "p1-edges")
+    component = connected_components(edges)
+    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    placed = members.withColumn("node", node("h")).join(component, "node", "left").join(degree, "node", "left")
+    named = placed.select("field", "atom_id", F.coalesce("component", "node").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    many = named.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
+    return named.join(many, "group_id", "left_semi").select("field", "atom_id", "group_id", "n_links")

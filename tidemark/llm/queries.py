@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     """Name to query; each runs over its whole tables with production parameters."""
     return {
         "p1_found": lambda s, d: p1.found(table(s, d, "source_video_atom")),
+        "p1_groups": lambda s, d: p1.groups(table(s, d, "source_video_atom")),
         "p2_found": lambda s, d: p2.found(*(table(s, d, t) for t in ("source_video_atom", "speaker_roster", "filler_ref"))),
         "p2_turns": lambda s, d: p2.turns(*(table(s, d, t) for t in ("source_video_atom", "speaker_roster", "filler_ref"))),
         "p3_found": lambda s, d: p3.found(table(s, d, "segments"), table(s, d, "source_video_atom")),
