@@ -28,6 +28,8 @@ CAPACITY = 2_048
 SHARD_ITEMS = 6_000
 #: A container filled less than this goes into the second round.
 FULL = 0.985
+#: Effort of the local search: pairs of containers looked at, for each container of a shard.
+EFFORT = 200
 #: Words whose count a task remembers.
 CACHE = 1_000_000
 
@@ -73,23 +75,27 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Swap-based local search that empties the emptiest containers.
+    """Swap-based local search among the underfull containers, those filled less than FULL.
 
-    The donor is the emptiest container.  For each of its items, largest first, another underfull
-    container is looked for that can take it: as it is, or in exchange for one smaller item, or for
-    two that are together smaller.  Each step makes a fuller container fuller, so the sum of squared
-    fills rises and the search ends.
+    The donor is the emptiest container that has not been tried in vain since the last change.  It
+    gives to another underfull one, fullest first: an item as it is, one in exchange for a smaller
+    one or for two together smaller, or two for one.  Each step makes a fuller container fuller, so
+    the sum of squared fills rises and the search ends; every change lets all donors try again.
+    After EFFORT pairs a container it ends in any case, with whatever packing it has reached.
     """
     load = [sum(sizes[i] for i in b) for b in bins]
     done: set[int] = set()
-    while True:
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and load[b] < capacity and b not in done), key=lambda b: (load[b], b))
-        if len(open_bins) < 2:
+    tries = EFFORT * len(bins)
+    while tries > 0:
+        open_bins = sorted((b for b in range(len(bins)) if bins[b] and load[b] < FULL * capacity), key=lambda b: (load[b], b))
+        donors = [b for b in open_bins if b not in done]
+        if len(open_bins) < 2 or not donors:
             break
-        donor = open_bins[0]
+        donor = donors[0]
         before = load[donor]
-        for b in sorted(open_bins[1:], key=lambda b: (-load[b], b)):
+        for b in [b for b in reversed(open_bins) if b != donor and load[b] >= load[donor]]:
             step = _best_step(bins[donor], bins[b], sizes, capacity - load[b])
+            tries -= 1
             while step:
                 gives, takes = step
                 for i in gives:
@@ -104,8 +110,7 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list
                 step = _best_step(bins[donor], bins[b], sizes, capacity - load[b]) if bins[donor] else None
             if not bins[donor]:
                 break
-        if bins[donor] and load[donor] == before:
-            done.add(donor)
+        done = done | {donor} if load[donor] == before else set()
     return [b for b in bins if b]
 
 
