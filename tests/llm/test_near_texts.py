@@ -6,7 +6,7 @@ import pytest
 
 from tidemark.llm import p1_near_duplicates as p1
 from tidemark.llm import p4_split_overlap as p4
-from tidemark.llm.textsim import MIN_CHARS, bit_sketch, grams, normal, similarity
+from tidemark.llm.textsim import MIN_CHARS, bit_sketch, grams, normal, similarity, text_id
 
 _rng = random.Random(0)
 WORDS = ["".join(_rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(_rng.randrange(3, 10))) for _ in range(3000)]
@@ -126,3 +126,28 @@ def test_stock_phrase_does_not_hide_a_copy(spark):
     data.append(("b", "P", "dev", data[1][3] + " again"))
     df = spark.createDataFrame(data, "atom_id string, participant_source_id string, split string, visible_text string")
     assert ("a001", "b", "dev") in {tuple(r) for r in p4.found(df).collect()}
+
+
+def test_coverage_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    long, copy, hot = words(400), words(15), "a phrase that stands in very many records "
+    rows = [("train", long), ("dev", words(3) + " " + long[200:2300] + " " + words(3)), ("train", copy), ("Test ", copy.upper()), ("train", words(15)), (None, words(15))]
+    rows += [(("train", "dev", "train")[i % 3], hot + words(12)) for i in range(60)]
+    rows += [("train", long[:120] + words(9)), ("dev", words(9) + copy[-45:]), ("other", long)]
+    df = spark.createDataFrame([(f"a{i}", "P", s, t) for i, (s, t) in enumerate(rows)], "atom_id string, participant_source_id string, split string, visible_text string")
+    sides = {}
+    for s, t in rows:
+        if (s or "").strip().lower() in ("train", "dev", "test"):
+            sides.setdefault(normal(t), set()).add("train" if s == "train" else "eval")
+    windows = {k: {t[i : i + p4.PREFIX] for t, s in sides.items() if k in s for i in range(len(t) - p4.PREFIX + 1)} for k in ("train", "eval")}
+    want = {}
+    for t, s in sides.items():
+        marks = set()
+        for i in range(len(t) - p4.PREFIX + 1):
+            if any(t[i : i + p4.PREFIX] in windows[k] for k in ("train", "eval") if s - {k}):
+                marks |= set(range(i, i + p4.PREFIX))
+        if marks:
+            want[text_id(t)] = (len(t), len(marks))
+    assert want[text_id(normal(copy))][0] == want[text_id(normal(copy))][1] and want[text_id(normal(long))][1] > 2000
+    assert {r.h: (r.n_chars, r.covered) for r in p4.coverage(df).collect()} == want
