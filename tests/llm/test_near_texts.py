@@ -151,3 +151,12 @@ def test_coverage_equals_brute_force(spark):
             want[text_id(t)] = (len(t), len(marks))
     assert want[text_id(normal(copy))][0] == want[text_id(normal(copy))][1] and want[text_id(normal(long))][1] > 2000
     assert {r.h: (r.n_chars, r.covered) for r in p4.coverage(df).collect()} == want
+
+
+def test_a_template_does_not_hide_its_pairs(spark):
+    rng = random.Random(6)
+    data = [(f"a{i:03d}", "P", "train" if i % 4 else "dev", f"the light in the kitchen was {n:04d} steps from the door to the") for i, n in enumerate(rng.sample(range(10_000), 400))]
+    df = spark.createDataFrame(data, "atom_id string, participant_source_id string, split string, visible_text string")
+    want = {(f"a{i:03d}", f"a{j:03d}", "dev") for i, j in near([r[3] for r in data], 0.7) if (i % 4 == 0) != (j % 4 == 0)}
+    got = {tuple(r) for r in p4.found(df).collect()}
+    assert len(want) == 30_000 and got <= want and len(want - got) <= 0.002 * len(want)

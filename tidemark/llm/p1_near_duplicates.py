@@ -54,12 +54,12 @@ def minhashes(texts: list[str], n: int) -> np.ndarray:
     return out
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches(batches: Iterator[pd.DataFrame], keep: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
     for x in batches:
         for i in range(0, len(x), 4000):
             part = x.iloc[i : i + 4000]
             texts = list(part.text)
-            yield pd.DataFrame({"field": part.field.values, "h": part.h.values, "bits": bit_sketch(texts), "sketch": list(minhashes(texts, FAMILIES * COORDINATES))})
+            yield pd.DataFrame({"field": part.field.values, "h": part.h.values, "bits": bit_sketch(texts), "sketch": list(minhashes(texts, FAMILIES * COORDINATES)), **{c: part[c].values for c in keep}})
 
 
 def _keys(families: int, columns: tuple[int, ...]) -> Column:
@@ -73,12 +73,23 @@ def _keys(families: int, columns: tuple[int, ...]) -> Column:
     )
 
 
+def bucket_rows(texts: DataFrame, families: int = FAMILIES, columns: tuple[int, ...] = COLUMNS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """k, h, bits and the kept integer columns: each text (field, h, text) once for each table."""
+    kept = "".join(f", {c} int" for c in keep)
+    sketched = texts.select("field", "h", "text", *keep).mapInPandas(lambda batches: _sketches(batches, keep), f"field string, h bigint, bits bigint, sketch array<int>{kept}")
+    return sketched.select(F.explode(_keys(families, columns)).alias("k"), "h", "bits", *keep)
+
+
+def near_bits(max_bits: int = MAX_BITS) -> Column:
+    """Whether the bit sketches of a and b are near."""
+    return F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= max_bits
+
+
 def candidates(texts: DataFrame, families: int = FAMILIES, columns: tuple[int, ...] = COLUMNS, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs h1 < h2 of one field that collide in some table and whose bit sketches are near."""
-    sketched = texts.mapInPandas(_sketches, "field string, h bigint, bits bigint, sketch array<int>")
-    rows = sketched.select(F.explode(_keys(families, columns)).alias("k"), "h", "bits")
+    rows = bucket_rows(texts, families, columns)
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= max_bits))
+    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & near_bits(max_bits))
     return met.select(F.col("a.h").alias("h1"), F.col("b.h").alias("h2")).distinct()
 
 
