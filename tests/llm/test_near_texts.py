@@ -6,7 +6,7 @@ import pytest
 
 from tidemark.llm import p1_near_duplicates as p1
 from tidemark.llm import p4_split_overlap as p4
-from tidemark.llm.textsim import MIN_CHARS, bit_sketch, grams, normal, similarity, text_id
+from tidemark.llm.textsim import MAX_BITS, MIN_CHARS, bit_sketch, grams, normal, similarity, text_id
 
 _rng = random.Random(0)
 WORDS = ["".join(_rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(_rng.randrange(3, 10))) for _ in range(3000)]
@@ -160,3 +160,24 @@ def test_a_template_does_not_hide_its_pairs(spark):
     want = {(f"a{i:03d}", f"a{j:03d}", "dev") for i, j in near([r[3] for r in data], 0.7) if (i % 4 == 0) != (j % 4 == 0)}
     got = {tuple(r) for r in p4.found(df).collect()}
     assert len(want) == 30_000 and got <= want and len(want - got) <= 0.002 * len(want)
+
+
+def at_the_threshold(n, seed):
+    """Pairs of texts of similarity 0.70 to 0.72, by edits of single characters."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        a = " ".join(rng.choice(WORDS) for _ in range(rng.randrange(12, 30)))
+        b = list(a)
+        while similarity(a, "".join(b)) > 0.72:
+            b[rng.randrange(len(b))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        if similarity(a, "".join(b)) >= 0.70:
+            out.append((a, "".join(b)))
+    return out
+
+
+def test_bit_bound_keeps_pairs_at_the_threshold():
+    pairs = at_the_threshold(2000, 7)
+    a, b = (bit_sketch([p[i] for p in pairs]).view("uint64") for i in (0, 1))
+    lost = sum((int(x) ^ int(y)).bit_count() > MAX_BITS for x, y in zip(a, b))
+    assert lost <= 0.002 * len(pairs)

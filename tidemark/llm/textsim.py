@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import spread
 
 MIN_CHARS = 60
-#: Bits of 64 that may differ.  At similarity 0.76 each differs with probability 0.12: 7.7 expected, 2.6 deviation.
-MAX_BITS = 15
+#: Bits of 64 that may differ.  At similarity 0.70 each differs with probability 0.15: 9.6 expected, 2.9 deviation.
+MAX_BITS = 20
 
 
 def normal(text: str) -> str:
