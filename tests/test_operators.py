@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,15 @@ def test_occupancy(spark):
     r = statistics.occupancy(df, "k").first()
     assert (r.n_values, r.n_rows, r.largest_share) == (2, 4, 0.5) and abs(r.entropy - 0.6931471805599453) < 1e-12
     assert "| n_rows | 4 |" in statistics.card("x", r.asDict())
+
+
+def _unit_vectors(n, seed):
+    v = np.random.default_rng(seed).normal(size=(n, 8)).astype(np.float32)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_reservoir_of_a_large_cluster_is_the_same(spark):
+    v = _unit_vectors(300, 1)
+    df = spark.createDataFrame([(i, "hot" if i % 3 else "rare", v[i].tolist()) for i in range(300)], "id bigint, g string, v array<float>").repartition(5)
+    whole = {tuple(r) for r in retrieve.reservoirs(df, "id", "g", "v", 10).collect()}
+    assert whole == {tuple(r) for r in retrieve.reservoirs(df, "id", "g", "v", 10, block=120).collect()} and len(whole) == 20

@@ -149,42 +149,80 @@ def survivors(rows: DataFrame, key: str, order: list[str], pairs: DataFrame) ->
     return ranked.join(gone, "_rank", "left").select(F.col("k").alias(key), F.coalesce("s", F.lit(True)).alias("survives"))
 
 
+def _away(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 - inner product of each row with x, row by row: the same to the last bit however many rows there are."""
+    return 1 - (v * x).sum(axis=1)
+
+
 def _farthest(ids: np.ndarray, v: np.ndarray, centre: np.ndarray, size: int) -> list[int]:
     """Indexes of the row nearest to the centre, then always the one farthest from all chosen."""
     order = np.argsort(ids, kind="stable")
-    v = v[order]
-    chosen = [int(np.argmin(1 - v @ centre))]
-    far = 1 - v @ v[chosen[0]]
+    v = np.ascontiguousarray(v[order])
+    chosen = [int(np.argmin(_away(v, centre)))]
+    far = _away(v, v[chosen[0]])
     while len(chosen) < min(size, len(v)):
         far[chosen[-1]] = -np.inf
         i = int(np.argmax(far))
         chosen.append(i)
-        far = np.minimum(far, 1 - v @ v[i])
+        far = np.minimum(far, _away(v, v[i]))
     return [int(order[i]) for i in chosen]
 
 
+def _farthest_in_rounds(rows: DataFrame, centres: dict, size: int, schema: str) -> list[tuple]:
+    """(g, id, place) of the same rows as _farthest, of clusters that are too large for one task.
+
+    In each round every batch of rows reports the best row of each cluster, given the rows chosen so
+    far, and the best report is chosen.  The driver holds the chosen rows only.
+    """
+    chosen: dict = {g: [] for g in centres}
+    out = []
+    for place in range(1, size + 1):
+
+        def report(batches, chosen=chosen, first=place == 1):
+            for x in batches:
+                for g, part in x.groupby("g"):
+                    ids, v = part.id.to_numpy(), np.ascontiguousarray(np.stack(part.v.to_numpy()).astype(np.float64))
+                    if first:
+                        score = -_away(v, np.asarray(centres[g], np.float64))
+                    else:
+                        score = np.minimum.reduce([_away(v, c) for _, c in chosen[g]])
+                        score[np.isin(ids, [i for i, _ in chosen[g]])] = -np.inf
+                    at = np.flatnonzero(score == score.max())
+                    best = at[np.argsort(ids[at], kind="stable")[0]]
+                    if score[best] > -np.inf:
+                        yield pd.DataFrame({"g": [g], "id": [ids[best]], "v": [part.v.iloc[best]], "score": [score[best]]})
+
+        reports = rows.mapInPandas(report, f"{schema}, score double").withColumn("id_", F.col("id"))
+        best = reports.groupBy("g").agg(F.min_by(F.struct("id", "v"), F.struct((-F.col("score")).alias("s"), F.col("id_"))).alias("x"))
+        for r in best.collect():
+            chosen[r.g].append((r.x.id, np.asarray(r.x.v, np.float64)))
+            out.append((r.g, r.x.id, place))
+    return out
+
+
 def reservoirs(rows: DataFrame, key: str, cluster: str, vector: str, size: int = 64, block: int = BLOCK) -> DataFrame:
     """<cluster>, <key>, place: a diverse reservoir of each cluster, farthest first.
 
-    Each block of a cluster gives its own reservoir and the reservoir of their union is the result,
-    which is exact for a cluster of one block and within a factor of the best spread otherwise; so a
-    cluster of any size is never in one task.
+    A cluster of at most block rows is one task; for larger ones every place is a round over all their
+    rows, with the same result, so a cluster of any size is never in one task.
     """
     kind, group = rows.schema[key].dataType.simpleString(), rows.schema[cluster].dataType.simpleString()
-    some = rows.select(F.col(cluster).alias("g"), F.col(key).alias("id"), F.col(vector).alias("v")).where("v is not null and g is not null")
-    n_dim = F.size("v")
-    per = some.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"), F.max(n_dim).alias("dim"))
+    some = rows.select(F.col(cluster).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v")).where("v is not null and g is not null")
     means = some.select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c"))
     centres = means.select("g", F.transform("c", lambda x: x["m"]).alias("centre"))
-    ready = some.join(per.drop("dim"), "g").join(centres, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    per = stage(some.groupBy("g").agg(F.count("*").alias("n")).join(centres, "g"), "clusters")
 
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         chosen = _farthest(part.id.to_numpy(), np.stack(part.v.to_numpy()).astype(np.float64), np.asarray(part.centre.iloc[0], dtype=np.float64), size)
-        return part.iloc[chosen].assign(place=np.arange(1, len(chosen) + 1, dtype=np.int32))[["g", "id", "v", "centre", "place"]]
-
-    schema = f"g {group}, id {kind}, v array<float>, centre array<double>, place int"
-    first = ready.withColumn("v", F.col("v").cast("array<float>")).groupBy("g", "b").applyInPandas(pick, schema)
-    return first.groupBy("g").applyInPandas(pick, schema).select(F.col("g").alias(cluster), F.col("id").alias(key), "place")
+        return part.iloc[chosen].assign(place=np.arange(1, len(chosen) + 1, dtype=np.int32))[["g", "id", "place"]]
+
+    small = some.join(per.where(F.col("n") <= block), "g").groupBy("g").applyInPandas(pick, f"g {group}, id {kind}, place int")
+    large = {r.g: r.centre for r in per.where(F.col("n") > block).collect()}
+    if large:
+        wide = stage(some.join(per.where(F.col("n") > block).select("g"), "g", "left_semi"), "large-clusters")
+        places = _farthest_in_rounds(wide, large, size, f"g {group}, id {kind}, v array<float>")
+        small = small.union(rows.sparkSession.createDataFrame(places, f"g {group}, id {kind}, place int"))
+    return small.select(F.col("g").alias(cluster), F.col("id").alias(key), "place")
 
 
 def projected(rows: DataFrame, vector: str, size: int, seed: int = 20260829) -> DataFrame:
