@@ -263,3 +263,14 @@ def test_reservoir_of_a_large_cluster_is_the_same(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else "rare", v[i].tolist()) for i in range(300)], "id bigint, g string, v array<float>").repartition(5)
     whole = {tuple(r) for r in retrieve.reservoirs(df, "id", "g", "v", 10).collect()}
     assert whole == {tuple(r) for r in retrieve.reservoirs(df, "id", "g", "v", 10, block=120).collect()} and len(whole) == 20
+
+
+def test_survivor_spacing_finds_a_row_wrongly_kept(spark):
+    v = _unit_vectors(40, 2)
+    df = spark.createDataFrame([(i, f"g{i % 2}", v[i].tolist()) for i in range(40)], "id bigint, g string, v array<float>")
+    kept = spark.createDataFrame([(i, i % 5 != 0) for i in range(40)], "id bigint, survives boolean")
+    got = {r.g: (r.n_survivors, r.min_distance) for r in retrieve.survivor_spacing(df, "id", "g", "v", kept).collect()}
+    for g in (0, 1):
+        ids = [i for i in range(40) if i % 5 and i % 2 == g]
+        least = min(1 - float(v[i].astype(float) @ v[j].astype(float)) for i in ids for j in ids if i < j)
+        assert got[f"g{g}"][0] == len(ids) and abs(got[f"g{g}"][1] - least) < 1e-6

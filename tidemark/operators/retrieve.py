@@ -91,10 +91,11 @@ def constrained_pick(ranked: DataFrame, query: str, rank: str, same: Column, n:
     return flagged.withColumn("pick", pick).withColumn("_kinds", kinds).where((F.col("_kinds") == 2) & (F.col("pick") <= n)).drop("_same", "_first", "_kinds")
 
 
-def near_in_cluster(rows: DataFrame, key: str, cluster: str, vector: str, at_most: float, block: int = BLOCK) -> DataFrame:
+def near_in_cluster(rows: DataFrame, key: str, cluster: str, vector: str, at_most: float, block: int = BLOCK, closest: bool = False) -> DataFrame:
     """<cluster>, id_1 < id_2, distance: pairs of a cluster within the cosine distance, block against block.
 
-    Distances are 1 - inner product in double precision, clipped, compared as float32.
+    Distances are 1 - inner product in double precision, clipped, compared as float32.  closest: only the
+    nearest pair of each two blocks.
     """
     kind, group = rows.schema[key].dataType.simpleString(), rows.schema[cluster].dataType.simpleString()
     sizes = rows.groupBy(cluster).agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
@@ -114,6 +115,8 @@ def near_in_cluster(rows: DataFrame, key: str, cluster: str, vector: str, at_mos
         inside = a.x.iloc[0] == a.y.iloc[0]
         keep = (x < y) if inside else (x != y)
         x, y, d = x[keep], y[keep], d[i, j][keep]
+        if closest and len(d):
+            x, y, d = (z[[int(np.argmin(d))]] for z in (x, y, d))
         return pd.DataFrame({"g": a.g.iloc[0], "id_1": np.minimum(x, y) if x.dtype != object else [min(p) for p in zip(x, y)], "id_2": np.maximum(x, y) if x.dtype != object else [max(p) for p in zip(x, y)], "distance": d})
 
     out = left.groupBy("g", "x", "y").cogroup(right.groupBy("g2", "x2", "y2")).applyInPandas(near, f"g {group}, id_1 {kind}, id_2 {kind}, distance float")
@@ -225,6 +228,18 @@ def reservoirs(rows: DataFrame, key: str, cluster: str, vector: str, size: int =
     return small.select(F.col("g").alias(cluster), F.col("id").alias(key), "place")
 
 
+def survivor_spacing(rows: DataFrame, key: str, cluster: str, vector: str, kept: DataFrame) -> DataFrame:
+    """<cluster>, n_survivors, min_distance: the smallest cosine distance between two kept rows of a cluster.
+
+    kept: <key>, survives.  Every pair of survivors is looked at, whatever their distance; min_distance is
+    null for a single survivor.
+    """
+    alive = stage(rows.select(key, cluster, vector).join(kept.where("survives").select(key), key), "alive")
+    pairs = near_in_cluster(alive, key, cluster, vector, 2.0, closest=True)
+    least = pairs.groupBy(cluster).agg(F.min("distance").alias("min_distance"))
+    return alive.groupBy(cluster).agg(F.count("*").alias("n_survivors")).join(least, cluster, "left")
+
+
 def projected(rows: DataFrame, vector: str, size: int, seed: int = 20260829) -> DataFrame:
     """rows with the vector replaced by its sparse random projection to `size`, normalised again."""
     from pyspark.sql import types as T

@@ -127,10 +127,17 @@ def reservoirs(spark, d):
 
 @query("survivor_rescan", f"WITH {_NEAR} SELECT label, count(*) AS n_pairs, count(DISTINCT id_1) AS n_first FROM n GROUP BY 1")
 def survivor_rescan(spark, d):
-    """RT15: an independent count of the near pairs of each cluster."""
+    """The near pairs of all rows of each cluster, counted."""
     return R.near_in_cluster(table(spark, d, "embeddings"), "vec_id", "label", "embedding", NEAR).groupBy("label").agg(F.count("*").alias("n_pairs"), F.countDistinct("id_1").alias("n_first"))
 
 
+@query("survivor_spacing")
+def survivor_spacing(spark, d):
+    """RT15: the survivors read again with their vectors: number and smallest distance in each cluster, above NEAR."""
+    e = table(spark, d, "embeddings")
+    return R.survivor_spacing(e, "vec_id", "label", "embedding", survivors(spark, d))
+
+
 @query("projection")
 def projection(spark, d):
     """RT7: sparse random projection to 16 dimensions."""
