@@ -1,9 +1,12 @@
 """Problems 1 and 4 against brute force, with edits like those of the data and the usual dirt."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
+from tidemark.llm import meeting
 from tidemark.llm import p1_near_duplicates as p1
 from tidemark.llm import p4_split_overlap as p4
 from tidemark.llm.textsim import MAX_BITS, MIN_CHARS, bit_sketch, grams, normal, similarity, text_id
@@ -84,11 +87,11 @@ def test_every_pair_within_the_radius_collides():
 
 def test_bit_sketches_follow_similarity():
     t = [normal(x) for x in make(80, 2)]
-    bits = [int(b) & (1 << 64) - 1 for b in bit_sketch(t)]
+    bits = bit_sketch(t)
     for i in range(0, 80, 2):
-        expected = (1 - similarity(t[i], t[i + 1])) / 2 * 64
-        assert abs((bits[i] ^ bits[i + 1]).bit_count() - expected) < 16
-    assert bits[0] == int(bit_sketch([t[0]])[0]) & (1 << 64) - 1
+        expected = (1 - similarity(t[i], t[i + 1])) / 2 * 128
+        assert abs(np.bitwise_count(bits[i] ^ bits[i + 1]).sum() - expected) < 25
+    assert (bits[0] == bit_sketch([t[0]])[0]).all()
     assert grams("ab") == set()
 
 
@@ -140,13 +143,13 @@ def test_coverage_equals_brute_force(spark):
     for s, t in rows:
         if (s or "").strip().lower() in ("train", "dev", "test"):
             sides.setdefault(normal(t), set()).add("train" if s == "train" else "eval")
-    windows = {k: {t[i : i + p4.PREFIX] for t, s in sides.items() if k in s for i in range(len(t) - p4.PREFIX + 1)} for k in ("train", "eval")}
+    windows = {k: {t[i : i + p4.SPAN] for t, s in sides.items() if k in s for i in range(len(t) - p4.SPAN + 1)} for k in ("train", "eval")}
     want = {}
     for t, s in sides.items():
         marks = set()
-        for i in range(len(t) - p4.PREFIX + 1):
-            if any(t[i : i + p4.PREFIX] in windows[k] for k in ("train", "eval") if s - {k}):
-                marks |= set(range(i, i + p4.PREFIX))
+        for i in range(len(t) - p4.SPAN + 1):
+            if any(t[i : i + p4.SPAN] in windows[k] for k in ("train", "eval") if s - {k}):
+                marks |= set(range(i, i + p4.SPAN))
         if marks:
             want[text_id(t)] = (len(t), len(marks))
     assert want[text_id(normal(copy))][0] == want[text_id(normal(copy))][1] and want[text_id(normal(long))][1] > 2000
@@ -178,6 +181,75 @@ def at_the_threshold(n, seed):
 
 def test_bit_bound_keeps_pairs_at_the_threshold():
     pairs = at_the_threshold(2000, 7)
-    a, b = (bit_sketch([p[i] for p in pairs]).view("uint64") for i in (0, 1))
-    lost = sum((int(x) ^ int(y)).bit_count() > MAX_BITS for x, y in zip(a, b))
-    assert lost <= 0.002 * len(pairs)
+    a, b = (bit_sketch([p[i] for p in pairs]) for i in (0, 1))
+    assert (np.bitwise_count(a ^ b).sum(axis=1) > MAX_BITS).sum() <= 0.001 * len(pairs)
+
+
+def test_masks_and_suffixes_keep_pairs_at_the_threshold():
+    pairs = at_the_threshold(2000, 8)
+    a, b = ([p[i] for p in pairs] for i in (0, 1))
+    (_, x), (_, y) = p1.mask_keys(a), p1.mask_keys(b)
+    assert (x.reshape(-1, len(a)) == y.reshape(-1, len(a))).any(axis=0).mean() >= 0.985
+    shared = 0
+    (i, x), (j, y) = p4.suffix_keys(a), p4.suffix_keys(b)
+    for n in range(len(a)):
+        shared += bool(set(x[i == n].tolist()) & set(y[j == n].tolist()))
+    assert shared >= 0.985 * len(a)
+
+
+def test_no_shared_span_is_missed():
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    least = p4.PREFIX + p4.STRETCH - 1
+    for n in (40, 300, 3000):
+        span = text(least)
+        a, b = text(n) + span + text(n), text(2 * n) + span + text(7)
+        (i, x), (j, y) = p4.suffix_keys([a, "q" * 60]), p4.suffix_keys([b])
+        assert set(x[i == 0].tolist()) & set(y.tolist()) and len(set(x[i == 1].tolist())) == 1
+
+
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(1)
+    e = np.zeros(1000, meeting.ENTRY)
+    e["key"] = np.sort(rng.integers(0, 1 << meeting.KEY_BITS, 1000, dtype=np.uint64))
+    e["id"] = (5 << 40) + rng.integers(0, 1 << 16, 1000)
+    e["b0"], e["b1"], e["tag"] = rng.integers(0, 1 << 63, 1000), rng.integers(0, 1 << 63, 1000), rng.integers(0, 4, 1000)
+    assert (meeting.unpack(meeting.pack(e, 5 << 40)) == e).all()
+    assert len(meeting.unpack(meeting.pack(e[:0], 0))) == 0
+
+
+@pytest.mark.parametrize("rule", [meeting.ANY, meeting.SAME, meeting.CROSS])
+def test_runs_and_cells_give_all_near_pairs(rule):
+    rng = np.random.default_rng(2)
+    e = np.zeros(900, meeting.ENTRY)
+    e["key"] = np.repeat([1, 2, 3, 4], [2, 40, 200, 658])
+    e["id"] = rng.integers(0, 500, 900)
+    e["b0"], e["tag"] = rng.integers(0, 1 << 12, 900), rng.integers(1, 4, 900)
+    e["tag"] = e["tag"][e["id"]]  # an id has one tag
+    e["b0"] = e["b0"][e["id"]]
+    want = set()
+    for i in range(900):
+        for j in range(i):
+            p, q = e[i], e[j]
+            fits = {"any": True, "same": p["tag"] == q["tag"], "cross": bool(p["tag"] & 1 and q["tag"] & 2 or p["tag"] & 2 and q["tag"] & 1)}[rule]
+            if p["key"] == q["key"] and p["id"] != q["id"] and fits and (int(p["b0"]) ^ int(q["b0"])).bit_count() <= 4:
+                want.add((min(int(p["id"]), int(q["id"])), max(int(p["id"]), int(q["id"]))))
+    pairs, cells = meeting.met_in_bucket(rng.permutation(e), 4, rule, hot=300, block=100)
+    got = set(map(tuple, pairs.tolist()))
+    n = 0
+    for a, b in cells:
+        n += 1
+        got |= set(map(tuple, meeting._pairs(meeting._blocks(a, b, 4, rule)).tolist()))
+    assert got == want and n > 10
+
+
+def test_a_phrase_in_all_rows_ends_in_seconds(spark):
+    rng = random.Random(10)
+    phrase = "this recording is for training only and must not be shared "
+    n = 20_000
+    data = [(f"a{i:05d}", "P", "train" if i % 3 else "dev", phrase + " ".join(rng.choice(WORDS) for _ in range(14))) for i in range(n)]
+    data.append(("b", "P", "dev", data[1][3] + " again"))
+    df = spark.createDataFrame(data, "atom_id string, participant_source_id string, split string, visible_text string")
+    began = time.time()
+    assert {tuple(r) for r in p4.found(df).collect()} == {("a00001", "b", "dev")}
+    assert time.time() - began < 60

@@ -6,12 +6,17 @@ coordinates that differ.  In each family the masks are the words of a binary lin
 i carries a column m(i) of RADIUS + 1 bits, and for every non-zero v the mask of v keeps the
 coordinates with <m(i), v> = 1 (mod 2).  For any RADIUS differing coordinates some v is orthogonal
 to all their columns, so the mask of v keeps none of them: every pair within the radius is certain to
-collide in some of the 2^(RADIUS + 1) - 1 tables of the family.  Further families catch the pairs
-whose minhash sketches lie farther apart than their texts.
+collide in some of the 2^(RADIUS + 1) - 1 tables of the family.
 
-A bucket row is (key, id, 64 one-bit minhashes).  Pairs that meet in a bucket and whose bit sketches
-are too far apart for the threshold are dropped inside the join; the rest is checked exactly on the
-whole texts.  Exact copies are one text all along and are joined back by id at the end.
+The guarantee is one on sketches, and minhash is random: at similarity s a coordinate agrees with
+probability s, so a family of masks of 5, 5 and 6 of eight coordinates meets a pair with probability
+2 s^5 + s^6 - 2 s^8, 0.338 at s = 0.70.  Eleven families leave 1.1 per cent of the pairs at the
+threshold apart, 0.2 per cent at 0.76.  A smaller radius with more families loses fewer pairs for the
+same number of tables than a larger radius, because its families are independent.
+
+Pairs that meet in a table and whose sketches of 128 bits are too far apart for the threshold are
+dropped where they meet (see meeting); the rest is checked exactly on the whole texts.  Exact copies
+are one text all along and are joined back by id at the end.
 
 Null, blank and short texts are in no pair.  Rows delivered again count once.  Extra columns are
 ignored.  An empty table gives no pairs.
@@ -19,21 +24,19 @@ ignored.  An empty table gives no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textsim import MAX_BITS, bit_sketch, gram_codes, multipliers, normal_texts, verified
+from tidemark.llm.meeting import SAME, near_pairs, with_ids
+from tidemark.llm.textsim import minhashes, mix, normal_texts, verified
 from tidemark.operators.graph import connected_components
 from tidemark.plans.staging import stage
 
 THRESHOLD = 0.70
-RADIUS, FAMILIES, COORDINATES = 2, 4, 10
-#: The columns m(i) of the code of each family: all masks keep 5 to 7 of the ten coordinates.
-COLUMNS = (1, 6, 5, 1, 7, 5, 2, 3, 7, 4)
+RADIUS, FAMILIES, COORDINATES = 1, 11, 8
+#: The columns m(i) of the code of each family: its three masks keep 5, 5 and 6 of the eight coordinates.
+COLUMNS = (1, 1, 1, 2, 2, 2, 3, 3)
 
 
 def masks(columns: tuple[int, ...] = COLUMNS, radius: int = RADIUS) -> list[list[int]]:
@@ -41,85 +44,50 @@ def masks(columns: tuple[int, ...] = COLUMNS, radius: int = RADIUS) -> list[list
     return [[i for i, m in enumerate(columns) if (m & v).bit_count() & 1] for v in range(1, 1 << (radius + 1))]
 
 
-def minhashes(texts: list[str], n: int) -> np.ndarray:
-    """n minhash values (int32) of the three-character set of each text."""
-    gram, start, border = gram_codes(texts)
-    odd, plus = multipliers(n)
-    out = np.empty((len(texts), n), np.int32)
-    with np.errstate(over="ignore"):
-        for c in range(n):
-            h = ((gram * odd[c] + plus[c]) >> np.uint64(32)).astype(np.uint32)
-            h[border] = 0xFFFFFFFF
-            out[:, c] = np.minimum.reduceat(h, start).view(np.int32)
-    return out
-
-
-def _sketches(batches: Iterator[pd.DataFrame], keep: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        for i in range(0, len(x), 4000):
-            part = x.iloc[i : i + 4000]
-            texts = list(part.text)
-            yield pd.DataFrame({"field": part.field.values, "h": part.h.values, "bits": bit_sketch(texts), "sketch": list(minhashes(texts, FAMILIES * COORDINATES)), **{c: part[c].values for c in keep}})
-
-
-def _keys(families: int, columns: tuple[int, ...]) -> Column:
+def mask_keys(texts: list[str], families: int = FAMILIES, columns: tuple[int, ...] = COLUMNS, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, key) for each text and table: a hash of the table and the coordinates its mask keeps."""
     n = len(columns)
-    return F.array(
-        *(
-            F.xxhash64(F.col("field"), F.lit(f * 1000 + v), *(F.col("sketch")[f * n + i] for i in kept))
-            for f in range(families)
-            for v, kept in enumerate(masks(columns))
-        )
-    )
-
-
-def bucket_rows(texts: DataFrame, families: int = FAMILIES, columns: tuple[int, ...] = COLUMNS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """k, h, bits and the kept integer columns: each text (field, h, text) once for each table."""
-    kept = "".join(f", {c} int" for c in keep)
-    sketched = texts.select("field", "h", "text", *keep).mapInPandas(lambda batches: _sketches(batches, keep), f"field string, h bigint, bits bigint, sketch array<int>{kept}")
-    return sketched.select(F.explode(_keys(families, columns)).alias("k"), "h", "bits", *keep)
-
-
-def near_bits(max_bits: int = MAX_BITS) -> Column:
-    """Whether the bit sketches of a and b are near."""
-    return F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= max_bits
-
-
-def candidates(texts: DataFrame, families: int = FAMILIES, columns: tuple[int, ...] = COLUMNS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs h1 < h2 of one field that collide in some table and whose bit sketches are near."""
-    rows = bucket_rows(texts, families, columns)
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & near_bits(max_bits))
-    return met.select(F.col("a.h").alias("h1"), F.col("b.h").alias("h2")).distinct()
-
-
-def text_rows(atoms: DataFrame, fields: tuple[str, ...] = ("dense_caption", "transcript")) -> DataFrame:
-    """field, atom_id, h, text for each field of each atom that counts; staged, since three readers follow."""
+    sketch = minhashes(texts, families * n).astype(np.uint64)
+    keys = []
+    for f in range(families):
+        for v, kept in enumerate(masks(columns, radius)):
+            key = np.full(len(texts), f * 1000 + v + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                for i in kept:
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sketch[:, f * n + i])
+            keys.append(key)
+    return np.tile(np.arange(len(texts)), len(keys)), np.concatenate(keys)
+
+
+def _long(atoms: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """field, atom_id, h, text for each field of each atom that counts."""
     long = atoms.select("atom_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("body")) for f in fields))).alias("x")).select("atom_id", "x.field", "x.body")
-    return stage(normal_texts(long, "body", ["field", "atom_id"]), "p1-texts")
+    return normal_texts(long, "body", ["field", "atom_id"])
 
 
 def near_duplicates(atoms: DataFrame, threshold: float = THRESHOLD, fields: tuple[str, ...] = ("dense_caption", "transcript")) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links h1 < h2, similarity between different texts; members field, h, atom_id."""
-    rows = text_rows(atoms, fields)
-    members = rows.select("field", "h", "atom_id").distinct()
+    """(links, members): links field, h1 < h2, similarity between different texts; members field, h, atom_id.
+
+    Normal forms are made twice, once for the texts and once for the members: that is cheaper than to
+    write all texts of all copies.
+    """
+    rows = _long(atoms, fields)
     # One row for each text of a field; the partial aggregate keeps copies out of the shuffle.
-    texts = rows.groupBy("field", "h").agg(F.min("text").alias("text"))
-    met = stage(candidates(texts), "p1-met")
-    wanted = met.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
-    some = rows.select("h", "text").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
-    links = stage(verified(met, some, threshold), "p1-links")
-    return links, members
+    texts = stage(with_ids(rows.groupBy("field", "h").agg(F.min("text").alias("text"))), "p1-texts")
+    number = F.coalesce(*(F.when(F.col("field") == f, i) for i, f in enumerate(fields)))
+    met = near_pairs(texts.withColumn("tag", number.cast("int")), mask_keys, FAMILIES * len(masks()), rule=SAME, name="p1-met")
+    links = stage(verified(met, texts, threshold, ["field"]), "p1-links")
+    return links, stage(rows.select("field", "h", "atom_id").distinct(), "p1-members")
 
 
 def found(atoms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """field, atom_id_1, atom_id_2: all pairs of atoms whose field has at least the similarity."""
     links, members = near_duplicates(atoms, threshold)
-    # A text shared by several atoms links to itself; texts of one field only (h may occur in both).
     a = members.select("field", F.col("h").alias("h1"), F.col("atom_id").alias("x"))
-    b = members.select(F.col("field").alias("field_b"), F.col("h").alias("h2"), F.col("atom_id").alias("y"))
-    shared = members.groupBy("h").count().where("count > 1").select(F.col("h").alias("h1"), F.col("h").alias("h2"))
-    pairs = links.select("h1", "h2").union(shared).join(a, "h1").join(b, "h2").where((F.col("field") == F.col("field_b")) & ((F.col("h1") != F.col("h2")) | (F.col("x") < F.col("y"))))
+    b = members.select("field", F.col("h").alias("h2"), F.col("atom_id").alias("y"))
+    # A text shared by several atoms links to itself.
+    shared = members.groupBy("field", "h").count().where("count > 1").select("field", F.col("h").alias("h1"), F.col("h").alias("h2"))
+    pairs = links.select("field", "h1", "h2").union(shared).join(a, ["field", "h1"]).join(b, ["field", "h2"]).where("h1 <> h2 or x < y")
     return pairs.select("field", F.least("x", "y").alias("atom_id_1"), F.greatest("x", "y").alias("atom_id_2")).where("atom_id_1 <> atom_id_2").distinct()
 
 
@@ -131,10 +99,8 @@ def groups(atoms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     size costs one row each.
     """
     links, members = near_duplicates(atoms, threshold)
-    held = members.select("field", "h").distinct()
-    both = links.select("h1", "h2").join(held.withColumnRenamed("h", "h1"), "h1").join(held.select(F.col("field").alias("other"), F.col("h").alias("h2")), "h2").where("field = other")
     node = lambda h: F.concat_ws(":", F.col("field"), F.col(h).cast("string"))
-    edges = stage(both.select(node("h1").alias("u"), node("h2").alias("v")), "p1-edges")
+    edges = stage(links.select(node("h1").alias("u"), node("h2").alias("v")), "p1-edges")
     component = connected_components(edges)
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = members.withColumn("node", node("h")).join(component, "node", "left").join(degree, "node", "left")

@@ -11,7 +11,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,8 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import spread
 
 MIN_CHARS = 60
-#: Bits of 64 that may differ.  At similarity 0.70 each differs with probability 0.15: 9.6 expected, 2.9 deviation.
-MAX_BITS = 20
+#: Bits of 128 that may differ.  At similarity 0.70 each differs with probability 0.15: 19.2 expected, 4.0 deviation.
+MAX_BITS = 35
+#: Texts whose ids travel to every task, eight bytes each.
+FEW = 1_000_000
 
 
 def normal(text: str) -> str:
@@ -50,15 +51,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of the three characters at each place, where each text starts, and the places that reach over a border.
+def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the three characters at each place, and where the grams of each text begin and end.
 
-    Each text has at least three characters.
+    The second is begin, end, begin, end and so on, as reduceat takes it; every other result is one of
+    a text.  Each text has at least three characters.
     """
     points, at = codes(texts)
     with np.errstate(over="ignore"):
         gram = mix((points[:-2] * np.uint64(0x1F123BB5) + points[1:-1]) * np.uint64(0x5851F42D) + points[2:] + np.uint64(1))
-    return gram, at[:-1], np.concatenate([at[1:-1] - 1, at[1:-1] - 2]).astype(np.int64)
+    return gram, np.stack([at[:-1], at[1:] - 2], axis=1).ravel()[:-1]
 
 
 def multipliers(n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
@@ -67,22 +69,38 @@ def multipliers(n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, n, dtype=np.uint64)
 
 
+def minhashes(texts: list[str], n: int) -> np.ndarray:
+    """n minhash values (uint32) of the three-character set of each text."""
+    gram, edges = gram_codes(texts)
+    gram = (gram >> np.uint64(32)).astype(np.uint32)
+    odd, plus = (x.astype(np.uint32) for x in multipliers(n))
+    out = np.empty((n, len(texts)), np.uint32)
+    for c in range(n):
+        h = gram * (odd[c] | np.uint32(1))
+        h ^= plus[c]
+        out[c] = np.minimum.reduceat(h, edges)[::2]
+    return out.T
+
+
 def bit_sketch(texts: list[str]) -> np.ndarray:
-    """64 one-bit minhashes (int64) of each text, 32 by each of two permutations.
+    """128 one-bit minhashes of each text as two words (uint64), 32 by each of four permutations.
 
     Five bits of a gram's hash are its bin, the rest competes for the minimum of the bin, and one bit
     of the minimum is kept.
     """
-    gram, start, border = gram_codes(texts)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(start, len(gram)))) * 32
-    out = np.zeros(len(texts), np.uint64)
-    for part, (odd, plus) in enumerate(zip(*multipliers(2, 77))):
+    gram, edges = gram_codes(texts)
+    n = len(texts)
+    sizes = np.diff(np.append(edges, len(gram)))
+    of = np.repeat(np.arange(n) * 32, sizes[::2])
+    inside = np.ones(len(gram), bool)
+    inside[(edges[1::2, None] + np.arange(2)).ravel()] = False
+    gram = gram[inside]
+    out = np.zeros((n, 2), np.uint64)
+    for part, (odd, plus) in enumerate(zip(*multipliers(4, 77))):
         with np.errstate(over="ignore"):
             h = mix(gram * odd + plus)
-        value = (h >> np.uint64(6)).astype(np.uint32)
-        value[border] = 0xFFFFFFFF
-        low = np.full(len(texts) * 32, 0xFFFFFFFF, np.uint32)
-        np.minimum.at(low, text_of + (h & np.uint64(31)).astype(np.int64), value)
+        low = np.full(n * 32, 0xFFFFFFFF, np.uint32)
+        np.minimum.at(low, of + (h & np.uint64(31)).astype(np.int64), (h >> np.uint64(6)).astype(np.uint32))
         low = low.reshape(-1, 32)
         for step in (1, 2, 4, 8, 16):  # an empty bin borrows from a neighbour
             empty = low == 0xFFFFFFFF
@@ -90,8 +108,9 @@ def bit_sketch(texts: list[str]) -> np.ndarray:
                 break
             low = np.where(empty, np.roll(low, -step, axis=1), low)
         bits = ((low * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint64)
-        out |= (bits << np.arange(part * 32, part * 32 + 32, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return out.view(np.int64)
+        shifts = np.arange(32, dtype=np.uint64) + np.uint64(32 * (part % 2))
+        out[:, part // 2] |= (bits << shifts).sum(axis=1, dtype=np.uint64)
+    return out
 
 
 def grams(text: str) -> set[str]:
@@ -130,19 +149,26 @@ def normal_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return spread(kept).mapInArrow(run, ddl)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (h1, h2) of distinct ids whose texts have at least the similarity, with it.
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, keep: list[str] | None = None) -> DataFrame:
+    """h1 < h2, similarity (and keep) of the pairs (id1, id2) whose texts have at least the similarity.
 
-    texts: h, text, one row for each id.  Each text travels once for each candidate pair it is in.
+    texts: id, h, text and the columns to keep from the first text, one row for each id; pairs and
+    texts are staged.  Only texts that are in a pair travel, each once for each pair it is in.
     """
-    a = texts.select(F.col("h").alias("h1"), F.col("text").alias("t1"))
-    b = texts.select(F.col("h").alias("h2"), F.col("text").alias("t2"))
-    both = pairs.select("h1", "h2").join(a, "h1").join(b, "h2").select("h1", "h2", "t1", "t2")
+    keep = keep or []
+    wanted = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
+    few = pairs.limit(FEW // 2 + 1).count() <= FEW // 2
+    some = texts.select("id", "h", "text", *keep).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    a = some.select(F.col("id").alias("id1"), F.col("h").alias("ha"), F.col("text").alias("t1"), *keep)
+    b = some.select(F.col("id").alias("id2"), F.col("h").alias("hb"), F.col("text").alias("t2"))
+    both = pairs.select("id1", "id2").join(a, "id1").join(b, "id2").select(*keep, F.least("ha", "hb").alias("h1"), F.greatest("ha", "hb").alias("h2"), "t1", "t2")
+    n = len(keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            s = np.fromiter((similarity(a, b) for a, b in zip(x.t1, x.t2)), float, len(x))
-            ok = s >= threshold
-            yield pd.DataFrame({"h1": x.h1[ok], "h2": x.h2[ok], "similarity": s[ok]})
+            s = np.fromiter((similarity(a, b) for a, b in zip(x.column(n + 2).to_pylist(), x.column(n + 3).to_pylist())), float, x.num_rows)
+            ok = pa.array(np.flatnonzero(s >= threshold))
+            yield pa.RecordBatch.from_arrays([*(x.column(i).take(ok) for i in range(n + 2)), pa.array(s[s >= threshold])], names=[*keep, "h1", "h2", "similarity"])
 
-    return both.mapInPandas(run, "h1 bigint, h2 bigint, similarity double")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in both.select(*keep).schema) if keep else ""
+    return both.mapInArrow(run, kept + "h1 bigint, h2 bigint, similarity double")
