@@ -2,8 +2,8 @@
 
 Problems 1 and 4 give each text many keys (covering masks; windows of a sparse suffix array) and need
 the pairs of texts that share a key and whose sketches allow the similarity.  An entry is (key, text,
-sketch, tag); the sketch is the 128 one-bit minhashes of the text, the tag says which side of a split
-it is on.  Entries travel packed, some 22 bytes each: a unit of texts sends one row of arrays to each
+sketch, tag); the sketch is 128 or 256 one-bit minhashes of the text, the tag says which side of a
+split it is on.  Entries travel packed, some six bytes and the sketch each: a unit of texts sends one row of arrays to each
 bucket of keys instead of one row for each entry.
 
 A bucket is a range of key hashes of about BUCKET entries.  It is sorted by key, runs of equal keys are
@@ -38,7 +38,11 @@ STRIP = 1 << 20
 
 #: (index of the text, key) of all keys of some texts.
 Keys = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
-ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("tag", "u1")])
+
+
+def entry(words: int) -> np.dtype:
+    """An entry whose sketch has so many words."""
+    return np.dtype([("key", "<u8"), ("id", "<i8"), ("tag", "u1"), ("bits", "<u8", (words,))])
 
 
 def with_ids(df: DataFrame) -> DataFrame:
@@ -60,22 +64,21 @@ def pack(entries: np.ndarray, base: int) -> bytes:
     d = np.diff(entries["key"], prepend=np.uint64(0)).view(np.uint8).reshape(n, 8)
     squeeze = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
     rest = squeeze.compress(np.ascontiguousarray(d[:, RAW:6].T).tobytes() + entries["tag"].tobytes()) + squeeze.flush()
-    plain = [np.ascontiguousarray(d[:, :RAW]), (entries["id"] - base).astype(np.uint16), entries["b0"], entries["b1"]]
-    return np.array([n, base], np.int64).tobytes() + b"".join(x.tobytes() for x in plain) + rest
+    plain = [np.ascontiguousarray(d[:, :RAW]), (entries["id"] - base).astype(np.uint16), np.ascontiguousarray(entries["bits"])]
+    return np.array([n, base, entries["bits"].shape[1]], np.int64).tobytes() + b"".join(x.tobytes() for x in plain) + rest
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    n, base = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-    out = np.empty(n, ENTRY)
-    at = 16
+    n, base, words = (int(x) for x in np.frombuffer(blob, np.int64, 3))
+    out = np.empty(n, entry(words))
+    at = 24
     d = np.zeros((n, 8), np.uint8)
     d[:, :RAW] = np.frombuffer(blob, np.uint8, RAW * n, at).reshape(n, RAW)
     at += RAW * n
     out["id"] = base + np.frombuffer(blob, np.uint16, n, at).astype(np.int64)
     at += 2 * n
-    for word in ("b0", "b1"):
-        out[word] = np.frombuffer(blob, np.uint64, n, at)
-        at += 8 * n
+    out["bits"] = np.frombuffer(blob, np.uint64, words * n, at).reshape(n, words)
+    at += 8 * words * n
     rest = np.frombuffer(zlib.decompress(blob[at:], -15), np.uint8)
     d[:, RAW:6] = rest[: (6 - RAW) * n].reshape(6 - RAW, n).T
     out["tag"] = rest[(6 - RAW) * n :]
@@ -83,21 +86,20 @@ def unpack(blob: bytes) -> np.ndarray:
     return out
 
 
-def _entries(texts: list[str], ids: np.ndarray, tags: np.ndarray, keys: Keys) -> np.ndarray:
+def _entries(texts: list[str], ids: np.ndarray, tags: np.ndarray, keys: Keys, words: int) -> np.ndarray:
     out = []
     for i in range(0, len(texts), AT_ONCE):
         some = texts[i : i + AT_ONCE]
         which, key = keys(some)
-        bits = bit_sketch(some)
-        part = np.empty(len(which), ENTRY)
+        part = np.empty(len(which), entry(words))
         part["key"] = key >> np.uint64(64 - KEY_BITS)
         part["id"], part["tag"] = ids[i : i + AT_ONCE][which], tags[i : i + AT_ONCE][which]
-        part["b0"], part["b1"] = bits[which, 0], bits[which, 1]
+        part["bits"] = bit_sketch(some, words)[which]
         out.append(part)
-    return np.concatenate(out) if out else np.empty(0, ENTRY)
+    return np.concatenate(out) if out else np.empty(0, entry(words))
 
 
-def packed(texts: DataFrame, keys: Keys, buckets: int) -> DataFrame:
+def packed(texts: DataFrame, keys: Keys, buckets: int, words: int = 2) -> DataFrame:
     """bucket, entries: the packed entries of texts (id, tag, text), staged with the ids counting on in its files."""
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def packed(texts: DataFrame, keys: Keys, buckets: int) -> DataFrame:
                     held, n = [], 0
                 if not held:
                     first = int(ids[a])
-                held.append(_entries(batch.column(2).slice(a, b - a).to_pylist(), ids[a:b], tags[a:b], keys))
+                held.append(_entries(batch.column(2).slice(a, b - a).to_pylist(), ids[a:b], tags[a:b], keys, words))
                 n += b - a
         if held:
             yield from send(held)
@@ -137,16 +139,20 @@ Columns = tuple[np.ndarray, ...]
 
 
 def _columns(e: np.ndarray) -> Columns:
-    return tuple(np.ascontiguousarray(e[c]) for c in ("id", "b0", "b1", "tag"))
+    """id, tag and the words of the sketch."""
+    return e["id"].copy(), e["tag"].copy(), *(e["bits"][:, i].copy() for i in range(e["bits"].shape[1]))
 
 
 def _near(a: Columns, b: Columns, max_bits: int, rule: str) -> np.ndarray:
     """Whether the sketches of entries a and b (arrays that broadcast) allow the similarity and the tags the pair."""
-    ok = np.bitwise_count(a[1] ^ b[1]) + np.bitwise_count(a[2] ^ b[2]) <= max_bits
+    apart = np.bitwise_count(a[2] ^ b[2])
+    for x, y in zip(a[3:], b[3:]):
+        apart = apart + np.bitwise_count(x ^ y).astype(np.uint16)
+    ok = apart <= max_bits
     if rule == SAME:
-        ok &= a[3] == b[3]
+        ok &= a[1] == b[1]
     if rule == CROSS:
-        ok &= ((a[3] & 1) & (b[3] >> 1) | (b[3] & 1) & (a[3] >> 1)).astype(bool)
+        ok &= ((a[1] & 1) & (b[1] >> 1) | (b[1] & 1) & (a[1] >> 1)).astype(bool)
     return ok & (a[0] != b[0])
 
 
@@ -181,7 +187,7 @@ def _short_runs(e: np.ndarray, last: np.ndarray, max_bits: int, rule: str) -> It
         step += 1
 
 
-def met_in_bucket(e: np.ndarray, max_bits: int = MAX_BITS, rule: str = ANY, hot: int = HOT, block: int = BLOCK) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+def met_in_bucket(e: np.ndarray, max_bits: int, rule: str = ANY, hot: int = HOT, block: int = BLOCK) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
     """(near pairs of the short runs, cells of the hot ones) of the entries of a bucket."""
 
     def sides(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,11 +222,13 @@ def _batch(pairs: np.ndarray, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([id1, id2, left, right], names=["id1", "id2", "a", "b"])
 
 
-def near_pairs(texts: DataFrame, keys: Keys, keys_per_text: float, max_bits: int = MAX_BITS, rule: str = ANY, name: str = "met") -> DataFrame:
+def near_pairs(texts: DataFrame, keys: Keys, keys_per_text: float, words: int = 2, rule: str = ANY, name: str = "met") -> DataFrame:
     """id1 < id2: pairs of texts (id, tag, text; see with_ids) that share a key and whose sketches are near; staged.
 
-    keys_per_text is about how many entries a text makes and sizes the buckets.
+    keys_per_text is about
+    how many entries a text makes and sizes the buckets, words the length of the sketches.
     """
+    max_bits, kind = MAX_BITS[words], entry(words)
     spark = texts.sparkSession
     buckets = max(2 * spark.sparkContext.defaultParallelism, int(texts.count() * keys_per_text) // BUCKET)
 
@@ -245,11 +253,11 @@ def near_pairs(texts: DataFrame, keys: Keys, keys_per_text: float, max_bits: int
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs = _pairs(_blocks(np.frombuffer(a, ENTRY), np.frombuffer(b, ENTRY), max_bits, rule))
+                pairs = _pairs(_blocks(np.frombuffer(a, kind), np.frombuffer(b, kind), max_bits, rule))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id1", "id2"])
 
     parts = min(buckets, 20 * spark.sparkContext.defaultParallelism)
-    sent = packed(texts, keys, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sent = packed(texts, keys, buckets, words).repartition(parts, "bucket").sortWithinPartitions("bucket")
     met = stage(sent.mapInArrow(run, _MET), name + "-runs")
     cells = met.where("a is not null").select("a", "b").repartition(parts).mapInArrow(compare, "id1 bigint, id2 bigint")
     return stage(met.where("a is null").select("id1", "id2").union(cells).distinct(), name)

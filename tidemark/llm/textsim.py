@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import spread
 
 MIN_CHARS = 60
-#: Bits of 128 that may differ.  At similarity 0.70 each differs with probability 0.15: 19.2 expected, 4.0 deviation.
-MAX_BITS = 35
+#: Bits that may differ, by the words of 64 bits of a sketch.  At similarity 0.70 each bit differs with
+#: probability 0.15: of 128 bits 19.2 are expected with a deviation of 4.0, of 256 bits 38.4 with 5.7.
+MAX_BITS = {2: 35, 4: 61}
 #: Texts whose ids travel to every task, eight bytes each.
 FEW = 1_000_000
 
@@ -82,8 +83,8 @@ def minhashes(texts: list[str], n: int) -> np.ndarray:
     return out.T
 
 
-def bit_sketch(texts: list[str]) -> np.ndarray:
-    """128 one-bit minhashes of each text as two words (uint64), 32 by each of four permutations.
+def bit_sketch(texts: list[str], words: int = 2) -> np.ndarray:
+    """64 one-bit minhashes of each text for each word (uint64), 32 by each of two permutations.
 
     Five bits of a gram's hash are its bin, the rest competes for the minimum of the bin, and one bit
     of the minimum is kept.
@@ -95,8 +96,8 @@ def bit_sketch(texts: list[str]) -> np.ndarray:
     inside = np.ones(len(gram), bool)
     inside[(edges[1::2, None] + np.arange(2)).ravel()] = False
     gram = gram[inside]
-    out = np.zeros((n, 2), np.uint64)
-    for part, (odd, plus) in enumerate(zip(*multipliers(4, 77))):
+    out = np.zeros((n, words), np.uint64)
+    for part, (odd, plus) in enumerate(zip(*multipliers(2 * words, 77))):
         with np.errstate(over="ignore"):
             h = mix(gram * odd + plus)
         low = np.full(n * 32, 0xFFFFFFFF, np.uint32)
