@@ -29,6 +29,8 @@ from tidemark.plans.staging import stage
 
 #: Texts that are packed together, texts that are hashed at a time, and entries of a bucket.
 UNIT, AT_ONCE, BUCKET = 20_000, 2_000, 500_000
+#: Shuffle partitions at most; each takes its buckets one after the other.
+PARTS = 20_000
 #: Members from which a run is compared in cells, and the members of a block of a cell.
 HOT, BLOCK = 4_096, 2_048
 #: Bits of a key that are compared, and bytes of a difference of sorted keys that are sent as they are.
@@ -256,7 +258,7 @@ def near_pairs(texts: DataFrame, keys: Keys, keys_per_text: float, words: int =
                 pairs = _pairs(_blocks(np.frombuffer(a, kind), np.frombuffer(b, kind), max_bits, rule))
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id1", "id2"])
 
-    parts = min(buckets, 20 * spark.sparkContext.defaultParallelism)
+    parts = min(buckets, PARTS)
     sent = packed(texts, keys, buckets, words).repartition(parts, "bucket").sortWithinPartitions("bucket")
     met = stage(sent.mapInArrow(run, _MET), name + "-runs")
     cells = met.where("a is not null").select("a", "b").repartition(parts).mapInArrow(compare, "id1 bigint, id2 bigint")
