@@ -90,7 +90,6 @@ nfkc_casefold = mapped(fold)
 nfkc_tidy = mapped(tidy)
 eligibility_form = mapped(eligible_form)
 evidence_normal = mapped(evidence_form)
-char_ngrams = mapped(ngrams, "array<string>")
 canonical = mapped(canonical_json)
 
 
@@ -115,6 +114,25 @@ def lower_collapse(column: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0B]+", " "))
 
 
+def char_trigrams(column: Column | str) -> Column:
+    """The substrings of three characters as numbers, one for each place, in the JVM; null for null.
+
+    A number holds the three code points, so equal numbers are equal substrings.  A shorter text is its
+    own only one, as a negative number; an empty text has none.
+    """
+    text = F.col(column) if isinstance(column, str) else column
+
+    def numbers(c: Column) -> Column:
+        n = F.size(c)
+        code = lambda i, j: F.get(c, i).cast("bigint") * (1 << j)
+        few = F.when(n == 2, -1 - code(F.lit(0), 21) - code(F.lit(1), 0)).otherwise(-1 - code(F.lit(0), 0))
+        return F.when(n >= 3, F.transform(F.sequence(F.lit(2), n - 1), lambda i: code(i - 2, 42) + code(i - 1, 21) + code(i, 0))).otherwise(F.array(few))
+
+    # The code points are bound to a variable: named twice, they would be made anew for each place.
+    points = F.transform(F.split(text, ""), F.ascii)
+    return F.when(text == "", F.array().cast("array<bigint>")).when(text.isNotNull(), F.get(F.transform(F.array(points), numbers), 0))
+
+
 def has_letter_or_digit(column: Column | str) -> Column:
     """Whether there is any letter or number."""
     return (F.col(column) if isinstance(column, str) else column).rlike(r"[\p{L}\p{N}]")
@@ -127,6 +145,14 @@ def whole_word(column: Column, word: str) -> Column:
     return F.contains(column, F.lit(word))
 
 
+def json_path(*parts: str | Column) -> Column:
+    """A JSON path from names and, as columns, places in arrays: $.a.b[0].c."""
+    out: list[Column] = [F.lit("$")]
+    for p in parts:
+        out += [F.lit(f".{p}")] if isinstance(p, str) else [F.lit("["), p.cast("string"), F.lit("]")]
+    return F.concat(*out)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Set similarity of two arrays: 1 if both are empty, 0 if one is."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

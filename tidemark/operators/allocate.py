@@ -51,15 +51,30 @@ def hash_sample(rows: DataFrame, strata: list[str], key: str, seed: str, size: i
 def quota_sample(rows: DataFrame, strata: list[str], key: str, seed: str, target: int) -> DataFrame:
     """target rows shared out over the strata by largest remainders, in hash order within each."""
     counts = rows.groupBy(*strata).agg(F.count("*").alias("_count"))
-    quotas = largest_remainder(counts, strata, "_count", target).select(*[F.col(s).alias(f"_q_{s}") for s in strata], "quota")
+    return ranked_by_hash(rows, strata, key, seed, largest_remainder(counts, strata, "_count", target))
+
+
+def floor_quotas(counts: DataFrame, keys: list[str], count: str, target: int, least: int) -> DataFrame:
+    """counts with quota: `least` of each stratum, or all where it has fewer, and what is left by largest remainders.
+
+    Where the floors alone exceed the target, the quotas are the floors.
+    """
+    floors = counts.withColumn("_least", F.least(F.col(count), F.lit(least))).withColumn("_more", F.col(count) - F.least(F.col(count), F.lit(least)))
+    used = counts.agg(F.sum(F.least(F.col(count), F.lit(least)))).first()[0] or 0
+    shared = largest_remainder(floors, keys, "_more", max(target - used, 0))
+    return shared.withColumn("quota", F.col("quota") + F.col("_least")).drop("_least", "_more")
+
+
+def ranked_by_hash(rows: DataFrame, strata: list[str], key: str, seed: str, quotas: DataFrame) -> DataFrame:
+    """The first `quota` rows of each stratum in hash order, with sample_rank; null strata are strata."""
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    wanted = quotas.select(*[F.col(s).alias(f"_q_{s}") for s in strata], "quota")
     on = None
     for s in strata:
         same = F.col(s).eqNullSafe(F.col(f"_q_{s}"))
         on = same if on is None else on & same
     # No quota is larger than the largest: with that bound each partition is pruned before the shuffle.
-    most = quotas.agg(F.max("quota")).first()[0] or 0
-    ranked = hash_sample(rows, strata, key, seed, most)
-    return ranked.join(quotas, on).where(F.col("sample_rank") <= F.col("quota")).drop(*[f"_q_{s}" for s in strata])
+    return hash_sample(rows, strata, key, seed, most).join(wanted, on).where(F.col("sample_rank") <= F.col("quota")).drop(*[f"_q_{s}" for s in strata])
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:

@@ -25,15 +25,17 @@ def set_similarity_pairs(rows: DataFrame, key: str, tokens: str, threshold: str
     num, den = t.numerator, t.denominator
     block = block or []
     some = rows.select(F.col(key).alias("k"), *block, *([F.col(differ).alias("_differ")] if differ else []), F.array_distinct(tokens).alias("set")).where(F.size("set") > 0)
-    # Read four times below: written once, so that the sets are not made again each time.
-    sized = stage(some.withColumn("n", F.size("set")), "sets")
-    each = sized.select("k", "n", *block, *(["_differ"] if differ else []), F.explode("set").alias("token"))
+    # Read several times below: written once, so that the sets are not made again each time, and with a
+    # number that stands for the key, so that the many tokens carry eight bytes each.
+    sized = stage(some.withColumn("n", F.size("set")).withColumn("i", F.monotonically_increasing_id()), "sets")
+    each = sized.select("i", "n", F.explode("set").alias("token"))
     frequency = each.groupBy("token").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("k").orderBy("df", "token"))
+    order = F.row_number().over(Window.partitionBy("i").orderBy("df", "token"))
     # ceil(num * n / den) without floating point.
     prefix = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
-    heads = each.join(frequency, "token").withColumn("at", order).where(F.col("at") <= prefix).drop("df")
-    heads = stage(heads, "heads")
+    heads = each.join(frequency, "token").withColumn("at", order).where(F.col("at") <= prefix).select("i", "token", "at")
+    info = sized.select("i", "k", "n", *block, *(["_differ"] if differ else []))
+    heads = stage(heads.join(info, "i"), "heads")
     a, b = heads.alias("a"), heads.alias("b")
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.k") < F.col("b.k"))
     for c in block:
@@ -42,14 +44,14 @@ def set_similarity_pairs(rows: DataFrame, key: str, tokens: str, threshold: str
         on &= F.col("a._differ") != F.col("b._differ")
     # The sizes alone rule a pair out when the smaller is less than t times the larger.
     on &= (F.col("a.n") * den >= F.col("b.n") * num) & (F.col("b.n") * den >= F.col("a.n") * num)
-    met = a.join(b, on).groupBy(F.col("a.k").alias("key_1"), F.col("b.k").alias("key_2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).agg(F.count("*").alias("c"), F.max("a.at").alias("i"), F.max("b.at").alias("j"))
-    # Up to their last shared prefix token the sets share c tokens, behind it at most what is left of either.
-    can = F.col("c") + F.least(F.col("n1") - F.col("i"), F.col("n2") - F.col("j"))
-    met = met.where(can * (den + num) >= (F.col("n1") + F.col("n2")) * num).select("key_1", "key_2")
-    sets = sized.select("k", "set", "n")
-    both = met.join(sets.select(F.col("k").alias("key_1"), F.col("set").alias("s1"), F.col("n").alias("n1")), "key_1").join(
-        sets.select(F.col("k").alias("key_2"), F.col("set").alias("s2"), F.col("n").alias("n2")), "key_2"
+    met = a.join(b, on).groupBy(F.col("a.i").alias("i1"), F.col("b.i").alias("i2")).agg(
+        F.count("*").alias("c"), F.max("a.at").alias("last1"), F.max("b.at").alias("last2"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2")
     )
+    # Up to their last shared prefix token the sets share c tokens, behind it at most what is left of either.
+    can = F.col("c") + F.least(F.col("n1") - F.col("last1"), F.col("n2") - F.col("last2"))
+    met = met.where(can * (den + num) >= (F.col("n1") + F.col("n2")) * num).select("i1", "i2")
+    side = lambda x: sized.select(F.col("i").alias(f"i{x}"), F.col("k").alias(f"key_{x}"), F.col("set").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    both = met.join(side(1), "i1").join(side(2), "i2")
     shared = F.size(F.array_intersect("s1", "s2"))
     counted = both.select("key_1", "key_2", shared.alias("n_both"), (F.col("n1") + F.col("n2") - shared).alias("n_union"))
     return counted.where(F.col("n_both") * den >= F.col("n_union") * num)

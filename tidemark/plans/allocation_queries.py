@@ -4,38 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import char_ngrams, lower_collapse
+from tidemark.functions.text import char_trigrams, lower_collapse
 from tidemark.operators.allocate import allocate_by_deficit, alternate, greedy_disjoint, greedy_packages, hash_sample, largest_remainder, numbered, quota_sample, shard_numbers
 from tidemark.operators.graph import connected_components
 from tidemark.operators.setsim import set_similarity_pairs
 from tidemark.plans.registry import query
-from tidemark.plans.staging import spread
+from tidemark.plans.staging import spread, stage
 from tidemark.sources.tables import table
 
-_GRAMS = """n AS (SELECT DISTINCT atom_id, participant_source_id, session_id, trim(regexp_replace(lower(dense_caption), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS x
-  FROM source_video_atom WHERE dense_caption IS NOT NULL),
-g AS (SELECT atom_id, participant_source_id, session_id, list_distinct(CASE WHEN length(x) < 3 THEN [x] ELSE list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)) END) AS s FROM n WHERE x <> '')"""
+_TEXT = "trim(regexp_replace(lower(visible_text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+_NEAR = f"""n AS (SELECT DISTINCT atom_id, participant_source_id AS p, source_day AS day, session_id, {_TEXT} AS x FROM source_video_atom WHERE visible_text IS NOT NULL),
+g AS (SELECT atom_id, p, day, session_id, list_distinct(CASE WHEN length(x) < 3 THEN [x] ELSE list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)) END) AS s FROM n WHERE x <> ''),
+np AS (SELECT a.atom_id AS key_1, b.atom_id AS key_2, a.session_id AS session_1, b.session_id AS session_2, CAST(len(list_intersect(a.s, b.s)) AS INTEGER) AS n_both, a.s AS sa, b.s AS sb
+  FROM g a JOIN g b ON a.p = b.p AND a.day = b.day AND a.atom_id < b.atom_id AND a.session_id <> b.session_id AND len(a.s) * 100 >= len(b.s) * 92 AND len(b.s) * 100 >= len(a.s) * 92),
+near AS (SELECT key_1, key_2, session_1, session_2, n_both, CAST(len(sa) + len(sb) - n_both AS INTEGER) AS n_union FROM np WHERE n_both * 100 >= (len(sa) + len(sb) - n_both) * 92)"""
 
 
-def _grams(spark, d):
-    s = spread(table(spark, d, "source_video_atom")).where("dense_caption is not null").select("atom_id", "participant_source_id", "session_id", lower_collapse("dense_caption").alias("x")).where("x <> ''").dropDuplicates(["atom_id"])
-    return s.select("atom_id", "participant_source_id", "session_id", char_ngrams("x").alias("grams"))
+def _near(spark, d):
+    a = spread(table(spark, d, "source_video_atom")).where("visible_text is not null").select("atom_id", "participant_source_id", "source_day", "session_id", lower_collapse("visible_text").alias("x")).where("x <> ''").dropDuplicates(["atom_id"])
+    return set_similarity_pairs(a.withColumn("grams", char_trigrams("x")), "atom_id", "grams", "0.92", ["participant_source_id", "source_day"], "session_id")
 
 
-@query(
-    "near_dup_pairs",
-    f"""WITH {_GRAMS}, p AS (SELECT a.atom_id AS key_1, b.atom_id AS key_2, CAST(len(list_intersect(a.s, b.s)) AS INTEGER) AS n_both, a.s AS sa, b.s AS sb
-        FROM g a JOIN g b ON a.participant_source_id = b.participant_source_id AND a.atom_id < b.atom_id AND a.session_id <> b.session_id
-         AND len(a.s) * 100 >= len(b.s) * 92 AND len(b.s) * 100 >= len(a.s) * 92)
-        SELECT key_1, key_2, n_both, CAST(len(sa) + len(sb) - n_both AS INTEGER) AS n_union FROM p WHERE n_both * 100 >= (len(sa) + len(sb) - n_both) * 92""",
-)
+@query("near_dup_pairs", f"WITH {_NEAR} SELECT key_1, key_2, n_both, n_union FROM near")
 def near_dup_pairs(spark, d):
-    """JN4, AG6, PRJ12-13: near-duplicate texts of one participant in different sessions, exactly."""
-    return set_similarity_pairs(_grams(spark, d), "atom_id", "grams", "0.92", ["participant_source_id"], "session_id")
+    """JN4, AG6, PRJ12-13, FLT5: near-duplicate texts of one participant and day in different sessions, exactly."""
+    return _near(spark, d)
 
 
-_LINKS = """a AS (SELECT DISTINCT atom_id, 'g:' || source_group_id AS g, 's:' || session_id AS s, 'w:' || CASE WHEN lower(trim(world_event_id)) NOT IN ('', 'none', 'n/a') THEN trim(world_event_id) END AS w FROM source_video_atom),
-e AS (SELECT DISTINCT g AS u, s AS v FROM a WHERE g IS NOT NULL AND s IS NOT NULL UNION SELECT DISTINCT w, s FROM a WHERE w IS NOT NULL AND s IS NOT NULL),
+_LINKS = f"""{_NEAR}, a AS (SELECT DISTINCT atom_id, 'g:' || source_group_id AS g, 's:' || session_id AS s, 'w:' || CASE WHEN lower(trim(world_event_id)) NOT IN ('', 'none', 'n/a') THEN trim(world_event_id) END AS w FROM source_video_atom),
+e AS (SELECT DISTINCT g AS u, s AS v FROM a WHERE g IS NOT NULL AND s IS NOT NULL UNION SELECT DISTINCT w, s FROM a WHERE w IS NOT NULL AND s IS NOT NULL UNION SELECT DISTINCT 's:' || session_1, 's:' || session_2 FROM near),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e UNION SELECT u, u FROM e UNION SELECT v, v FROM e),
 r AS (SELECT u AS node, v AS other FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.other = b.u),
 c AS (SELECT node, min(other) AS component FROM r GROUP BY node)"""
@@ -43,14 +40,31 @@ c AS (SELECT node, min(other) AS component FROM r GROUP BY node)"""
 
 def _links(spark, d):
     event = F.when(~F.lower(F.trim("world_event_id")).isin("", "none", "n/a"), F.trim("world_event_id"))
-    a = table(spark, d, "source_video_atom").select(F.concat(F.lit("g:"), "source_group_id").alias("g"), F.concat(F.lit("s:"), "session_id").alias("s"), F.concat(F.lit("w:"), event).alias("w")).distinct()
-    return a.select("s", F.explode(F.array("g", "w")).alias("u")).where("u is not null and s is not null").distinct()
+    rows = table(spark, d, "source_video_atom")
+    a = rows.select(F.concat(F.lit("g:"), "source_group_id").alias("g"), F.concat(F.lit("s:"), "session_id").alias("s"), F.concat(F.lit("w:"), event).alias("w")).distinct()
+    named = a.select("s", F.explode(F.array("g", "w")).alias("u")).where("u is not null and s is not null").distinct()
+    session = rows.select("atom_id", F.concat(F.lit("s:"), "session_id").alias("session")).distinct()
+    pairs = _near(spark, d).select("key_1", "key_2")
+    first = session.withColumnsRenamed({"atom_id": "key_1", "session": "s"})
+    second = session.withColumnsRenamed({"atom_id": "key_2", "session": "u"})
+    return named.unionByName(pairs.join(first, "key_1").join(second, "key_2").select("s", "u").distinct())
+
+
+def _components(spark, d):
+    return stage(connected_components(_links(spark, d), "u", "s"), "components")
 
 
 @query("dup_components", f"WITH RECURSIVE {_LINKS} SELECT node, component FROM c")
 def dup_components(spark, d):
-    """GR1: connected components over groups, sessions and events."""
-    return connected_components(_links(spark, d), "u", "s")
+    """GR1: connected components over groups, sessions, events and near-duplicate texts."""
+    return _components(spark, d)
+
+
+@query("component_links", f"WITH RECURSIVE {_LINKS} SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components, count(*) - count(DISTINCT component) AS n_links, (SELECT count(*) FROM near) AS n_near_pairs FROM c")
+def component_links(spark, d):
+    """GR1: how many links joined components, whatever their order: nodes less components."""
+    counted = _components(spark, d).agg(F.count("*").alias("n_nodes"), F.countDistinct("component").alias("n_components"))
+    return counted.withColumn("n_links", F.col("n_nodes") - F.col("n_components")).crossJoin(_near(spark, d).agg(F.count("*").alias("n_near_pairs")))
 
 
 @query(
@@ -58,15 +72,15 @@ def dup_components(spark, d):
     f"WITH RECURSIVE {_LINKS} SELECT substr(sha256(string_agg(node, '|' ORDER BY node)), 1, 16) AS component_id, count(*) AS n_nodes FROM c GROUP BY component",
 )
 def component_ids(spark, d):
-    """GR2: a stable id of each component from its sorted members."""
-    c = connected_components(_links(spark, d), "u", "s")
+    """GR2: a stable id of each component from its sorted members; SHA-256 needs them as one text."""
+    c = _components(spark, d)
     return c.groupBy("component").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "|"), 256), 1, 16).alias("component_id"), F.count("*").alias("n_nodes")).drop("component")
 
 
 @query("split_allocation")
 def split_allocation(spark, d):
     """GR3-4, AG7: components to splits by deficit, joined back to the groups."""
-    c = connected_components(_links(spark, d), "u", "s")
+    c = _components(spark, d)
     a = table(spark, d, "source_video_atom").select("atom_id", F.concat(F.lit("s:"), "session_id").alias("node")).distinct()
     sizes = a.join(c, "node").groupBy("component").agg(F.count("*").alias("n"))
     splits = allocate_by_deficit(sizes, "component", "n", ("train", "dev", "test"), (0.70, 0.15, 0.15), 20260829)
@@ -148,7 +162,14 @@ def shard_numbers_atoms(spark, d):
     return p.select("atom_id", "position", shard.alias("shard"), task.alias("task"), wave.alias("wave"))
 
 
-@query("greedy_packages")
+@query(
+    "greedy_packages",
+    """WITH RECURSIVE b AS (SELECT atom_id, CAST(strlen(coalesce(visible_text, '')) AS INTEGER) AS size, position, position // 500 AS shard FROM (SELECT atom_id, visible_text, row_number() OVER (ORDER BY atom_id) - 1 AS position FROM (SELECT DISTINCT atom_id, visible_text FROM source_video_atom))),
+       f AS (SELECT atom_id, size, position, shard, 0 AS package, 1 AS items, size AS total FROM b WHERE position % 500 = 0
+         UNION ALL SELECT b.atom_id, b.size, b.position, b.shard, f.package + CASE WHEN f.items >= 5 OR f.total + b.size > 1500 THEN 1 ELSE 0 END, CASE WHEN f.items >= 5 OR f.total + b.size > 1500 THEN 1 ELSE f.items + 1 END,
+           CASE WHEN f.items >= 5 OR f.total + b.size > 1500 THEN b.size ELSE f.total + b.size END FROM f JOIN b ON b.position = f.position + 1 AND b.shard = f.shard)
+       SELECT atom_id, shard, package, size, size > 1500 AS oversize FROM f""",
+)
 def greedy_packages_atoms(spark, d):
     """GR13: packages of at most five items and 1,500 bytes, in the order of ids inside shards of 500."""
     a = table(spark, d, "source_video_atom").select("atom_id", F.octet_length(F.coalesce("visible_text", F.lit(""))).alias("size")).dropDuplicates(["atom_id"])

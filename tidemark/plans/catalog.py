@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import allocation_queries, audit_queries, event_queries, interval_queries, retrieval_queries, source_queries  # noqa: F401
+from tidemark.plans import allocation_queries, audit_queries, event_queries, interval_queries, pipeline_queries, retrieval_queries, source_queries, validation_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES, Query, query
 from tidemark.sources.tables import table
 

@@ -1,7 +1,8 @@
 """Tables as published artifacts: line-JSON and CSV readers, atomic publication, success markers.
 
-A published table is a folder.  It is written beside its final place and moved there in one rename;
-the marker, with row count, schema and an order-insensitive content hash, is written last.  Whoever
+A published table is a folder.  It is written beside its final place, gets its marker (row count, schema
+and an order-insensitive content hash) last, and is moved to its place in one rename; what was there is
+moved away first, comes back if the rename fails, and is deleted at the end.  Whoever
 reads through open_verified() either gets exactly what was published or an error.
 """
 
@@ -95,11 +96,18 @@ def publish(df: DataFrame, path: str, how: Publication | None = None, partition_
         writer = writer.partitionBy(*partition_by)
     writer.save(aside)
     marker = content_hash(spark.read.schema(df.schema).option("header", "true").format(kind).load(aside)) | {"version": how.version, "upstream": how.upstream, "kind": kind}
+    _write_text(spark, f"{aside}/{MARKER}", json.dumps(marker, sort_keys=True))
     fs, where = _fs(spark, path)
-    fs.delete(where, True)
+    old = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")[1]
+    had = fs.exists(where)
+    if had and not fs.rename(where, old):
+        raise GateError(f"{path} could not be moved away")
     if not fs.rename(_fs(spark, aside)[1], where):
+        if had:
+            fs.rename(old, where)
         raise GateError(f"{aside} could not be moved to {path}")
-    _write_text(spark, f"{path}/{MARKER}", json.dumps(marker, sort_keys=True))
+    if had:
+        fs.delete(old, True)
     return marker
 
 
@@ -121,13 +129,21 @@ def open_verified(spark: SparkSession, path: str, schema: T.StructType, version:
     return df
 
 
+def shard_hashes(rows: DataFrame, shard: str) -> DataFrame:
+    """shard, n_rows, hash: rows and order-insensitive content hash of each shard."""
+    text = F.to_json(F.struct(*sorted(c for c in rows.columns if c != shard)), {"ignoreNullFields": "false"})
+    two = [F.sum(F.xxhash64(F.lit(x), text).cast("decimal(38,0)")).cast("string") for x in ("first", "second")]
+    return rows.groupBy(shard).agg(F.count("*").alias("n_rows"), F.concat_ws(".", *two).alias("hash"))
+
+
 def manifest_check(rows: DataFrame, manifest: DataFrame, shard: str) -> DataFrame:
-    """shard, n_rows, expected_rows, status of a sharded table against its manifest (shard, n_rows)."""
-    have = rows.groupBy(shard).agg(F.count("*").alias("n_rows"))
-    want = manifest.select(shard, F.col("n_rows").alias("expected_rows"))
+    """shard, n_rows, expected_rows, status of a sharded table against its manifest (shard, n_rows and, where it has it, hash)."""
+    have = shard_hashes(rows, shard)
+    given = "hash" in manifest.columns
+    want = manifest.select(shard, F.col("n_rows").alias("expected_rows"), (F.col("hash") if given else F.lit(None).cast("string")).alias("expected_hash"))
     both = have.join(want, shard, "full_outer")
-    status = F.when(F.col("expected_rows").isNull(), "unknown_shard").when(F.col("n_rows").isNull(), "missing_shard").when(F.col("n_rows") != F.col("expected_rows"), "row_count").otherwise("ok")
-    return both.withColumn("status", status)
+    status = F.when(F.col("expected_rows").isNull(), "unknown_shard").when(F.col("n_rows").isNull(), "missing_shard").when(F.col("n_rows") != F.col("expected_rows"), "row_count").when(F.col("hash") != F.col("expected_hash"), "content").otherwise("ok")
+    return both.withColumn("status", status).drop("hash", "expected_hash")
 
 
 def inferred(df: DataFrame, backend, schema: str) -> DataFrame:
