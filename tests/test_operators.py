@@ -1,12 +1,18 @@
 """Operators on small tables: defined results for nulls, ties, repetitions and empty inputs; brute force."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import char_trigrams
 from tidemark.operators import align, allocate, automaton, evidence, graph, intervals, ledger, retrieve, scenarios, setsim, statistics, validate
+from tidemark.operators.allocate import floor_quotas
+from tidemark.operators.graph import connected_components
+from tidemark.operators.retrieve import minibatch_centres, minibatch_clustered
+from tidemark.plans import staging
 
 
 def rows(df):
@@ -274,3 +280,62 @@ def test_survivor_spacing_finds_a_row_wrongly_kept(spark):
         ids = [i for i in range(40) if i % 5 and i % 2 == g]
         least = min(1 - float(v[i].astype(float) @ v[j].astype(float)) for i in ids for j in ids if i < j)
         assert got[f"g{g}"][0] == len(ids) and abs(got[f"g{g}"][1] - least) < 1e-6
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(None, 4), (5, None), (7, 7)]
+    df = spark.createDataFrame(pairs, "u int, v int")
+    one = sorted(map(tuple, connected_components(df).collect()))
+    assert one == sorted(map(tuple, connected_components(df, one_task=0).collect())) and all(b <= a for a, b in one)
+    assert connected_components(df.where("false")).count() == 0
+
+
+def test_trigram_numbers_are_the_substrings(spark):
+    texts = ["", "a", "ab", "abc", "añ😀中b", "aaaa", None, "x" * 5000]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(char_trigrams("t")).collect()]
+    for t, g in zip(texts, got):
+        if t is None:
+            assert g is None
+            continue
+        want = [t[i : i + 3] for i in range(len(t) - 2)] or ([t] if t else [])
+        assert len(g) == len(want) and len(set(g)) == len(set(want))
+    assert len({got[1][0], got[2][0], got[3][0]}) == 3
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        class sparkContext:
+            applicationId, master = "app", "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(Cluster)
+
+
+def test_released_and_cleared_tables_are_gone(spark):
+    df = staging.stage(spark.range(5), "gone")
+    where = df._staged_at.removeprefix("file://")
+    assert os.path.exists(where) and df.count() == 5
+    staging.release(df)
+    assert not os.path.exists(where)
+
+
+def test_floor_quotas(spark):
+    df = spark.createDataFrame([("a", 100), ("b", 2), ("c", 50)], "k string, n bigint")
+    got = {r.k: r.quota for r in floor_quotas(df, ["k"], "n", 40, 5).collect()}
+    assert got["b"] == 2 and sum(got.values()) == 40 and got["a"] > got["c"] >= 5
+    assert {r.k: r.quota for r in floor_quotas(df, ["k"], "n", 3, 5).collect()} == {"a": 5, "b": 2, "c": 5}
+
+
+def test_minibatch_finds_what_is_apart(spark):
+    rng = np.random.default_rng(4)
+    where = rng.normal(size=(6, 8)) * 10
+    v = np.concatenate([c + rng.normal(size=(40, 8)) * 0.1 for c in where])
+    assert len({tuple(np.round(c)) for c in minibatch_centres(v, 6)}) == 6
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "id bigint, v array<double>")
+    got = {r.id: r.cluster for r in minibatch_clustered(df, "id", "v", 6).collect()}
+    assert 999 not in got and all(len({got[40 * c + i] for i in range(40)}) == 1 for c in range(6)) and len(set(got.values())) == 6
+    assert minibatch_clustered(df.where("false"), "id", "v", 6).count() == 0

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,19 +49,13 @@ def evidence_slice(source: str | None, evidence: str | None) -> str | None:
     """
     if not source or not evidence:
         return None
-    wanted = evidence_form(evidence)
-    if not wanted:
+    wanted, whole = evidence_form(evidence), evidence_form(source)
+    parts = [evidence_form(c) for c in source]
+    if not wanted or "".join(parts) != whole or (begin := whole.find(wanted)) < 0:
         return None
-    form, at = [], []
-    for i, c in enumerate(source):
-        part = evidence_form(c)
-        form.append(part)
-        at.extend([i] * len(part))
-    whole = "".join(form)
-    if whole != evidence_form(source):
-        return None
-    where = whole.find(wanted)
-    return None if where < 0 else source[at[where] : at[where + len(wanted) - 1] + 1]
+    # ends[i]: how much of the form the first i + 1 characters of the source make.
+    ends = list(accumulate(map(len, parts)))
+    return source[bisect_right(ends, begin) : bisect_right(ends, begin + len(wanted) - 1) + 1]
 
 
 def ngrams(value: str, n: int = 3) -> list[str]:

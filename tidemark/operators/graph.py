@@ -29,7 +29,9 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return x
 
+    kind = None
     for batch in batches:
+        kind = batch.column(0).type
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(u), root(v)
             if a != b:  # the smaller node stays the root
@@ -37,7 +39,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes = list(parent)
     for i in range(0, len(nodes), 50_000):
         some = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([root(x) for x in some])], names=["node", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([root(x) for x in some], kind)], names=["node", "component"])
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:

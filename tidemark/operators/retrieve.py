@@ -67,7 +67,7 @@ def sparse_topk(queries: DataFrame, corpus: DataFrame, key: str, weights: str, k
 
 
 def fused(a: DataFrame, b: DataFrame, key: str, k: int = 60) -> DataFrame:
-    """query_id, <key>, rank_a, rank_b, rrf_score, rank: reciprocal-rank fusion of two ranked lists.
+    """query_id, <key>, rank_a, rank_b, rrf_exact, rrf_score, rank: reciprocal-rank fusion of two ranked lists.
 
     Scores are decimals wide enough to order any two sums of reciprocals of ranks below 1,000 exactly.
     """
@@ -75,7 +75,7 @@ def fused(a: DataFrame, b: DataFrame, key: str, k: int = 60) -> DataFrame:
     both = part(a, "rank_a").join(part(b, "rank_b"), ["query_id", key], "full_outer")
     scored = both.withColumn("_exact", F.expr(f"cast(coalesce(cast(1 as decimal(30,24)) / cast(rank_a + {k} as decimal(6,0)), 0) + coalesce(cast(1 as decimal(30,24)) / cast(rank_b + {k} as decimal(6,0)), 0) as decimal(38,24))"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_exact"), key))
-    return scored.withColumn("rrf_score", F.col("_exact").cast("double")).withColumn("rank", rank).drop("_exact")
+    return scored.withColumn("rrf_score", F.col("_exact").cast("double")).withColumn("rank", rank).withColumnRenamed("_exact", "rrf_exact")
 
 
 def constrained_pick(ranked: DataFrame, query: str, rank: str, same: Column, n: int) -> DataFrame:
@@ -240,7 +240,7 @@ def survivor_spacing(rows: DataFrame, key: str, cluster: str, vector: str, kept:
     return alive.groupBy(cluster).agg(F.count("*").alias("n_survivors")).join(least, cluster, "left")
 
 
-def projected(rows: DataFrame, vector: str, size: int, seed: int = 20260829) -> DataFrame:
+def projected(rows: DataFrame, vector: str, size: int, seed: int = 20260910) -> DataFrame:
     """rows with the vector replaced by its sparse random projection to `size`, normalised again."""
     from pyspark.sql import types as T
 
@@ -267,26 +267,97 @@ def projected(rows: DataFrame, vector: str, size: int, seed: int = 20260829) ->
     return rows.mapInPandas(run, schema)
 
 
+def canonical_names(centres: np.ndarray) -> list[int]:
+    """For each centre its rank by the SHA-256 of its float32 bytes; negative zeros count as zero, what is no number is refused."""
+    c = np.asarray(centres, dtype="<f4") + np.float32(0)
+    if not np.isfinite(c).all():
+        raise ValueError("a centre that is not a number")
+    digests = [hashlib.sha256(np.where(x == 0, np.float32(0), x).astype("<f4").tobytes()).hexdigest() for x in c]
+    order = sorted(range(len(digests)), key=lambda i: digests[i])
+    return [order.index(i) for i in range(len(order))]
+
+
 def clustered(rows: DataFrame, key: str, vector: str, k: int, seed: int = 20260829) -> DataFrame:
     """<key>, cluster: k-means by Spark ML; a cluster's id is the rank of its centre's SHA-256.
 
-    Negative zeros count as zero and centres that are not numbers are refused.  The algorithm is
-    Spark's, so its clusters are like, not equal to, those of another implementation.
+    The algorithm is Spark's, so its clusters are like, not equal to, those of another implementation.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     ready = rows.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(ready)
-    digests = []
-    for centre in model.clusterCenters():
-        c = np.asarray(centre, dtype="<f4") + np.float32(0)
-        if not np.isfinite(c).all():
-            raise ValueError("a centre that is not a number")
-        digests.append(hashlib.sha256(np.where(c == 0, np.float32(0), c).astype("<f4").tobytes()).hexdigest())
-    place = {i: n for n, i in enumerate(sorted(range(len(digests)), key=lambda i: digests[i]))}
-    names = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
-    return model.transform(ready).select(key, F.element_at(names, F.col("prediction")).alias("cluster"))
+    names = F.array(*[F.lit(x) for x in canonical_names(np.array(model.clusterCenters()))])
+    return model.transform(ready).select(key, F.get(names, F.col("prediction")).alias("cluster"))
+
+
+# FIXED VALUES of the mini-batch clustering.
+SAMPLE, BATCH, STARTS, EPOCHS, PATIENCE, SEED = 65_536, 8_192, 3, 20, 30, 20260910
+
+
+def _nearest(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the nearest centre, squared distance to it) of each row."""
+    d = (v * v).sum(axis=1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(axis=1)[None, :]
+    near = d.argmin(axis=1)
+    return near, np.maximum(d[np.arange(len(v)), near], 0)
+
+
+def minibatch_centres(v: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
+    """Centres of mini-batch k-means: the best of STARTS k-means++ seedings, then batches until none improves for long."""
+    rng = np.random.default_rng(seed)
+    starts = []
+    for _ in range(STARTS):
+        some = v[rng.choice(len(v), min(len(v), max(BATCH, k)), replace=False)]
+        centres = some[rng.integers(len(some))][None, :]
+        for _ in range(k - 1):  # k-means++: the farther a row is from all centres, the likelier it is the next
+            far = _nearest(some, centres)[1]
+            at = rng.choice(len(some), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(some))
+            centres = np.vstack([centres, some[at]])
+        starts.append((_nearest(some, centres)[1].sum(), len(starts), centres))
+    centres = min(starts)[2].copy()
+    count = np.zeros(k)
+    smooth, best, idle = None, np.inf, 0
+    for _ in range(EPOCHS):
+        order = rng.permutation(len(v))
+        for b in range(0, len(v), BATCH):
+            part = v[order[b : b + BATCH]]
+            near, far = _nearest(part, centres)
+            for c in np.unique(near):
+                own = part[near == c]
+                count[c] += len(own)
+                centres[c] += (own.sum(axis=0) - len(own) * centres[c]) / count[c]
+            share = min(2 * len(part) / (len(v) + 1), 1)
+            smooth = far.mean() if smooth is None else smooth * (1 - share) + far.mean() * share
+            idle = 0 if smooth < best else idle + 1
+            best = min(best, smooth)
+            if idle >= PATIENCE:
+                return centres
+    return centres
+
+
+def minibatch_clustered(rows: DataFrame, key: str, vector: str, k: int, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """<key>, cluster by mini-batch k-means: fitted on at most `sample` rows in hash order, assigned to all rows.
+
+    The bound of the sample is a parameter; what the driver and every task hold are the sample and the
+    k centres.  Rows without a vector are in no cluster; with fewer rows than k, k is their number.
+    """
+    from tidemark.operators.allocate import hash_order
+
+    kind = rows.schema[key].dataType.simpleString()
+    some = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    head = some.orderBy(hash_order(str(seed), "id"), "id").limit(sample).select("v").collect()
+    if not head:
+        return rows.sparkSession.createDataFrame([], f"{key} {kind}, cluster int")
+    v = np.array([r.v for r in head], dtype=np.float64)
+    centres = minibatch_centres(v, min(k, len(v)), seed).astype(np.float32)
+    names = np.array(canonical_names(centres), np.int32)
+
+    def assign(batches):
+        for x in batches:
+            if len(x):
+                yield pd.DataFrame({key: x.id, "cluster": names[_nearest(np.stack(x.v.to_numpy()).astype(np.float64), centres.astype(np.float64))[0]]})
+
+    return some.mapInPandas(assign, f"{key} {kind}, cluster int")
 
 
 def round_robin(rows: DataFrame, cluster: str, order: list[str], target: int, cap: int) -> DataFrame:

@@ -177,7 +177,13 @@ def greedy_packages_atoms(spark, d):
     return greedy_packages(p.withColumn("shard", F.floor(F.col("position") / 500)), "shard", "position", "size", 5, 1_500).select("atom_id", "shard", "package", "size", "oversize")
 
 
-@query("greedy_disjoint")
+@query(
+    "greedy_disjoint",
+    """WITH RECURSIVE r AS MATERIALIZED (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k, parts FROM orders JOIN (SELECT l_orderkey, list_distinct(list(l_partkey)) AS parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+       f AS (SELECT k, o_orderkey, true AS taken, parts AS used FROM r WHERE k = 1
+         UNION ALL SELECT k, o_orderkey, taken, CASE WHEN taken THEN list_concat(used, parts) ELSE used END FROM (SELECT r.k, r.o_orderkey, r.parts, f.used, NOT list_has_any(f.used, r.parts) AS taken FROM f JOIN r ON r.k = f.k + 1))
+       SELECT o_orderkey FROM f WHERE taken""",
+)
 def greedy_disjoint_orders(spark, d):
     """SO4: orders accepted by date, skipping each that uses a part that an accepted one has used."""
     parts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))

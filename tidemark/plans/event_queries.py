@@ -9,7 +9,7 @@ from tidemark.operators import scenarios as S
 from tidemark.operators.automaton import REMINDER, run
 from tidemark.plans.registry import query
 from tidemark.sources.tables import stream_table, table
-from tidemark.streaming.keyed import machine_stream, run_to_end, windowed_counts
+from tidemark.streaming.keyed import anchored_hits, machine_stream, run_to_end, windowed_counts
 
 _SYMBOL = "CASE event_type WHEN 'signup' THEN 'creation' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'trigger' ELSE 'lure' END"
 _MOVE = """CASE WHEN s = 'illegal' THEN s WHEN sym = 'creation' THEN CASE WHEN s = 'never_created' THEN 'active_unreminded' ELSE 'illegal' END
@@ -39,7 +39,7 @@ def state_machine(spark, d):
 
 @query("stream_state_machine", _MACHINE)
 def stream_state_machine(spark, d):
-    """SS1-3: the same machine over a stream, one state value a user."""
+    """SS1: the same machine over a stream, one state value a user."""
     return run_to_end(lambda: machine_stream(stream_table(spark, d, "events").select("user_id", "event_id", "ts", _symbol().alias("role")), REMINDER, "user_id", "event_id", "ts", "role"), spark)
 
 
@@ -56,7 +56,7 @@ def stream_event_counts(spark, d):
         CASE WHEN sym = 'trigger' AND state_before = 'active_unreminded' THEN 'remind' ELSE 'silent' END AS action FROM f JOIN e USING (user_id, n)""",
 )
 def decisions(spark, d):
-    """DM10, DM13: what each event decides."""
+    """DM10: what each event decides; chain_validation recomputes it from the annotation."""
     r = _run(spark, d)
     acts = (F.col("role") == "trigger") & (F.col("state_before") == "active_unreminded")
     return r.select("event_id", "role", S.decision_type(F.col("role"), F.col("state_before")).alias("decision_type"), F.when(acts, "remind").otherwise("silent").alias("action"))
@@ -75,11 +75,11 @@ def prefix_evidence(spark, d):
     return S.prefix_evidence(e, "user_id", ["ts", "event_id"], "event_id", "role", ("completed", "cancelled")).select("event_id", "creation_id", "terminal_id")
 
 
-@query(
-    "window_hits",
-    f"""WITH e AS (SELECT user_id, event_id, ts, {_SYMBOL} AS role FROM events), c AS (SELECT user_id, min(ts) AS anchor FROM e WHERE role = 'creation' GROUP BY 1)
-        SELECT event_id, user_id FROM e JOIN c USING (user_id) WHERE role = 'trigger' AND epoch_us(ts) BETWEEN epoch_us(anchor) AND epoch_us(anchor) + 604800000000""",
-)
+_HITS = f"""WITH e AS (SELECT user_id, event_id, ts, {_SYMBOL} AS role FROM events), c AS (SELECT user_id, min(ts) AS anchor FROM e WHERE role = 'creation' GROUP BY 1)
+        SELECT event_id, user_id FROM e JOIN c USING (user_id) WHERE role = 'trigger' AND epoch_us(ts) BETWEEN epoch_us(anchor) AND epoch_us(anchor) + 604800000000"""
+
+
+@query("window_hits", _HITS)
 def window_hits(spark, d):
     """FLT4: triggers within a week of the user's first creation, both ends included."""
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), _symbol().alias("role"))
@@ -87,6 +87,13 @@ def window_hits(spark, d):
     return e.where("role = 'trigger'").join(anchor, "user_id").where("t between a and a + 604800000000").select("event_id", "user_id")
 
 
+@query("stream_window_hits", _HITS)
+def stream_window_hits(spark, d):
+    """SS3: the same windows over a stream, opened by the anchor event and judged when a trigger arrives."""
+    events = lambda: stream_table(spark, d, "events").select("user_id", "event_id", "ts", _symbol().alias("role"))
+    return run_to_end(lambda: anchored_hits(events(), "user_id", "event_id", "ts", "role", "creation", "trigger", 604_800_000_000), spark)
+
+
 @query(
     "virtual_times",
     """WITH s AS (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT - epoch(TIMESTAMP '2024-01-01')::BIGINT AS sec FROM events)

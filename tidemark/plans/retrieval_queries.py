@@ -74,18 +74,36 @@ def lure_pick(spark, d):
     return R.constrained_pick(rows, "query_id", "rank", F.col("same"), 4).select("query_id", "vec_id", "pick", "same")
 
 
+@query(
+    "retrieval_gate",
+    _PICK.replace("SELECT query_id, vec_id, CAST(pick AS INTEGER) AS pick, same FROM p WHERE pick <= 4", """, q4 AS (SELECT query_id, count(*) AS n_picks, count(*) FILTER (same) AS n_same, bool_or(query_id = vec_id) AS picks_itself, bool_or(pick = 1 AND NOT same) OR bool_or(pick = 2 AND same) AS wrong_head FROM p WHERE pick <= 4 GROUP BY 1)
+SELECT e.vec_id AS query_id, CASE WHEN n_picks IS NULL THEN 'no_picks' WHEN n_picks < 4 THEN 'too_few' WHEN picks_itself THEN 'itself' WHEN n_same = 0 OR n_same = n_picks THEN 'one_group' WHEN wrong_head THEN 'order' ELSE 'ok' END AS code
+FROM embeddings e LEFT JOIN q4 ON q4.query_id = e.vec_id WHERE e.vec_id % 50 = 0"""),
+)
+def retrieval_gate(spark, d):
+    """RT5: the rule that the picks of each query break: four of them, not the query itself, both groups, the best of each first."""
+    p = lure_pick(spark, d).groupBy("query_id").agg(
+        F.count("*").alias("n"), F.count_if("same").alias("n_same"), F.bool_or(F.col("query_id") == F.col("vec_id")).alias("itself"), (F.bool_or((F.col("pick") == 1) & ~F.col("same")) | F.bool_or((F.col("pick") == 2) & F.col("same"))).alias("wrong")
+    )
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    code = F.when(F.col("n").isNull(), "no_picks").when(F.col("n") < 4, "too_few").when(F.col("itself"), "itself").when((F.col("n_same") == 0) | (F.col("n_same") == F.col("n")), "one_group").when(F.col("wrong"), "order").otherwise("ok")
+    return asked.join(p, "query_id", "left").select("query_id", code.alias("code"))
+
+
 @query(
     "primary_query",
-    f"""WITH {_FUSED}, x AS (SELECT vec_id, query_id, round(score, 12) AS rrf_score, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 14) DESC, least(coalesce(rank_dense, 9999), coalesce(rank_sparse, 9999)), query_id) AS n, count(*) OVER (PARTITION BY vec_id) AS n_queries FROM r)
+    f"""WITH {_FUSED}, x AS (SELECT r.vec_id, query_id, round(score, 12) AS rrf_score, row_number() OVER (PARTITION BY r.vec_id ORDER BY coalesce(1000000000000000000000000::HUGEINT // (60 + rank_dense), 0) + coalesce(1000000000000000000000000::HUGEINT // (60 + rank_sparse), 0) DESC,
+        least(coalesce(rank_dense, 9999), coalesce(rank_sparse, 9999)), q.label, query_id) AS n, count(*) OVER (PARTITION BY r.vec_id) AS n_queries FROM r JOIN embeddings q ON q.vec_id = r.query_id)
         SELECT vec_id, query_id, rrf_score, n_queries FROM x WHERE n = 1""",
 )
 def primary_query(spark, d):
-    """RT6: the query to which each retrieved row is attributed: best fusion score, best rank, smallest id."""
+    """RT6: the query to which each retrieved row is attributed: fusion score, compared exactly, best rank, family, id."""
     from pyspark.sql import Window
 
-    _, f = _fused(spark, d)
+    e, f = _fused(spark, d)
+    f = f.join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     best = F.least(F.coalesce("rank_a", F.lit(9999)), F.coalesce("rank_b", F.lit(9999)))
-    n = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("rrf_score", 14)), best, "query_id"))
+    n = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("rrf_exact"), best, "label", "query_id"))
     return f.withColumn("n", n).withColumn("n_queries", F.count("*").over(Window.partitionBy("vec_id"))).where("n = 1").select("vec_id", "query_id", F.round("rrf_score", 12).alias("rrf_score"), "n_queries")
 
 
@@ -112,14 +130,28 @@ def near_in_cluster(spark, d):
     return R.near_in_cluster(table(spark, d, "embeddings"), "vec_id", "label", "embedding", NEAR).select("label", "id_1", "id_2")
 
 
-@query("survivors")
+_KEPT = f"""{_NEAR}, o AS (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) AS k, (SELECT list(id_1) FROM n WHERE n.id_2 = e.vec_id) AS earlier FROM embeddings e),
+f AS (SELECT label, k, vec_id, [vec_id] AS kept, true AS survives FROM o WHERE k = 1
+  UNION ALL SELECT o.label, o.k, o.vec_id, CASE WHEN coalesce(list_has_any(f.kept, o.earlier), false) THEN f.kept ELSE list_append(f.kept, o.vec_id) END, NOT coalesce(list_has_any(f.kept, o.earlier), false) FROM f JOIN o ON o.label = f.label AND o.k = f.k + 1)"""
+
+
+@query("survivors", f"WITH RECURSIVE {_KEPT} SELECT vec_id, survives FROM f")
 def survivors(spark, d):
     """RT10: rows that no earlier survivor of their cluster is near."""
     e = table(spark, d, "embeddings")
     return R.survivors(e, "vec_id", ["vec_id"], R.near_in_cluster(e, "vec_id", "label", "embedding", NEAR))
 
 
-@query("reservoirs")
+@query(
+    "reservoirs",
+    """WITH RECURSIVE m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS centre FROM m GROUP BY 1),
+       d AS MATERIALIZED (SELECT a.label, a.vec_id AS a, b.vec_id AS b, 1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS far FROM embeddings a JOIN embeddings b ON a.label = b.label),
+       s AS (SELECT label, vec_id FROM (SELECT e.label, vec_id, row_number() OVER (PARTITION BY e.label ORDER BY 1 - list_inner_product(embedding::DOUBLE[], centre), vec_id) AS k FROM embeddings e JOIN c USING (label)) WHERE k = 1),
+       f AS (SELECT label, vec_id, 1 AS place, [vec_id] AS chosen FROM s
+         UNION ALL SELECT label, vec_id, place, list_append(chosen, vec_id) FROM (SELECT f.label, d.b AS vec_id, f.place + 1 AS place, f.chosen, row_number() OVER (PARTITION BY f.label ORDER BY min(d.far) DESC, d.b) AS k
+           FROM f JOIN d ON d.label = f.label AND list_contains(f.chosen, d.a) AND NOT list_contains(f.chosen, d.b) WHERE f.place < 16 GROUP BY f.label, d.b, f.place, f.chosen) WHERE k = 1)
+       SELECT label, vec_id, CAST(place AS INTEGER) AS place FROM f""",
+)
 def reservoirs(spark, d):
     """RT11: a diverse reservoir of each cluster."""
     return R.reservoirs(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 16)
@@ -131,11 +163,15 @@ def survivor_rescan(spark, d):
     return R.near_in_cluster(table(spark, d, "embeddings"), "vec_id", "label", "embedding", NEAR).groupBy("label").agg(F.count("*").alias("n_pairs"), F.countDistinct("id_1").alias("n_first"))
 
 
-@query("survivor_spacing")
+@query(
+    "survivor_spacing",
+    f"""WITH RECURSIVE {_KEPT}, s AS (SELECT e.* FROM f JOIN embeddings e USING (vec_id) WHERE f.survives), p AS (SELECT a.label, min(1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS least FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1)
+        SELECT label, count(*) AS n_survivors, round(max(least), 5) AS min_distance FROM s LEFT JOIN p USING (label) GROUP BY 1""",
+)
 def survivor_spacing(spark, d):
     """RT15: the survivors read again with their vectors: number and smallest distance in each cluster, above NEAR."""
     e = table(spark, d, "embeddings")
-    return R.survivor_spacing(e, "vec_id", "label", "embedding", survivors(spark, d))
+    return R.survivor_spacing(e, "vec_id", "label", "embedding", survivors(spark, d)).withColumn("min_distance", F.round(F.col("min_distance").cast("double"), 5))
 
 
 @query("projection")
@@ -144,9 +180,15 @@ def projection(spark, d):
     return R.projected(table(spark, d, "embeddings"), "embedding", 16)
 
 
+@query("minibatch_clusters")
+def minibatch_clusters(spark, d):
+    """RT8-9: mini-batch k-means over the projected vectors, fitted on a bounded sample, assigned to all."""
+    return R.minibatch_clustered(R.projected(table(spark, d, "embeddings"), "embedding", 16), "vec_id", "embedding", 10)
+
+
 @query("clusters")
 def clusters(spark, d):
-    """RT8-9: k-means with canonical cluster ids."""
+    """RT9: k-means with canonical cluster ids."""
     return R.clustered(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
 
 

@@ -45,6 +45,31 @@ def machine_stream(events: DataFrame, machine: Machine, key: str, event_id: str,
     return events.groupBy(key).applyInPandasWithState(step, out, "now int, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def anchored_hits(events: DataFrame, key: str, event_id: str, time: str, symbol: str, anchor: str, hit: str, width_us: int) -> DataFrame:
+    """event_id, key of the hits that lie in the window that opens with the first anchor event of their key, both ends included.
+
+    One state value a key, the time of its anchor: a hit is judged when it arrives, with the anchor that
+    came before it, so no event is kept.
+    """
+    kinds = dict(events.dtypes)
+
+    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened = state.get[0] if state.exists else None
+        rows = pd.concat(parts).sort_values([time, event_id], kind="stable")
+        at = rows[time].to_numpy().astype("datetime64[us]").astype("int64")
+        out = []
+        for t, what, one in zip(at.tolist(), rows[symbol], rows[event_id]):
+            if what == anchor and opened is None:
+                opened = t
+            if what == hit and opened is not None and opened <= t <= opened + width_us:
+                out.append(one)
+        if opened is not None:
+            state.update((opened,))
+        yield pd.DataFrame({event_id: out, key: [keys[0]] * len(out)})
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{event_id} {kinds[event_id]}, {key} {kinds[key]}", "opened long", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(events: DataFrame, time: str, by: str, width: str, lateness: str) -> DataFrame:
     """window start, by, n: events counted in tumbling windows; rows later than the watermark are dropped."""
     timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", lateness)
