@@ -7,11 +7,12 @@ records to the splits, where moving records away from their present split costs
 the quota; the flow is rounded to whole components, and the members of a bundle are assigned in the
 order of a hash.
 
-What reaches the driver are bundles, at most BUNDLE_LIMIT: sizes and label counts up to EXACT are kept
-as they are, larger ones are rounded down to three significant bits, so the number of bundles does
-not follow the number of records.
+A bundle holds components of exactly one size and of one label profile, the share of each present
+split in quarters, so a whole component moved is exactly what the flow moves.  What reaches the driver
+are bundles: components of different sizes that together hold N records have fewer than sqrt(2 N)
+sizes, so their number follows the square root of the records at most.
 
-Null and placeholder keys relate nothing; a record without any key is a component of its own.  Null
+Null and placeholder keys relate nothing (the placeholders are a parameter); a record without any key is a component of its own.  Null
 and unknown splits are no label.  Rows delivered again count once.
 """
 
@@ -30,25 +31,26 @@ SPLITS = ("train", "dev", "test")
 RATIOS = (0.70, 0.15, 0.15)
 #: Placeholders that name no event, in lower case and trimmed.
 NO_EVENT = ("", "none", "n/a", "na", "null", "nan", "nil", "unknown", "-", "--", "?", "tbd")
-EXACT = 16
-BUNDLE_LIMIT = 20_000
+#: Parts in which the share of a split in a component is told; bundles that the driver solves at most.
+PROFILE = 4
+BUNDLE_LIMIT = 200_000
 #: Costs: a record moved away from its present split, a record beyond a quota (a bundle is moved for a quota).
 MOVE, OVER = 1, 4
 
 
-def real_event(event: Column) -> Column:
+def real_event(event: Column, placeholders: tuple[str, ...] = NO_EVENT) -> Column:
     """The event id, or null where it names no event."""
-    return F.when(~F.lower(F.trim(event)).isin(*NO_EVENT), F.trim(event))
+    return F.when(~F.lower(F.trim(event)).isin(*placeholders), F.trim(event))
 
 
-def keyed(atoms: DataFrame) -> DataFrame:
+def keyed(atoms: DataFrame, placeholders: tuple[str, ...] = NO_EVENT) -> DataFrame:
     """atom_id, g, s, w, key, split: distinct records with prefixed keys; key is the first that is there."""
     known = F.lower(F.trim("split"))
     rows = atoms.select(
         "atom_id",
         F.concat(F.lit("g:"), F.when(F.trim("source_group_id") != "", F.col("source_group_id"))).alias("g"),
         F.concat(F.lit("s:"), F.when(F.trim("session_id") != "", F.col("session_id"))).alias("s"),
-        F.concat(F.lit("w:"), real_event(F.col("world_event_id"))).alias("w"),
+        F.concat(F.lit("w:"), real_event(F.col("world_event_id"), placeholders)).alias("w"),
         F.when(known.isin(*SPLITS), known).alias("split"),
     ).where("atom_id is not null")
     return rows.dropDuplicates(["atom_id"]).withColumn("key", F.coalesce("g", "s", "w", F.concat(F.lit("a:"), F.col("atom_id"))))
@@ -72,12 +74,6 @@ def torn_groups(atoms: DataFrame) -> DataFrame:
     return groups.join(torn, "component", "left_semi").select(F.expr("substring(key, 3)").alias("source_group_id"))
 
 
-def _class(n: Column) -> Column:
-    """n itself up to EXACT, else n rounded down to three significant bits."""
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)))) - 2)
-    return F.when(n <= EXACT, n).otherwise((F.floor(n / unit) * unit).cast("bigint"))
-
-
 def solve(bundles: list[tuple[int, tuple[int, ...]]], ratios: tuple[float, ...] = RATIOS) -> list[list[float]]:
     """Records of each bundle to each split: the cheapest flow.
 
@@ -134,7 +130,13 @@ def solve(bundles: list[tuple[int, tuple[int, ...]]], ratios: tuple[float, ...]
                 return c, b
         return None
 
-    for _ in range(20 * len(bundles) + 100):
+    # Every step moves records from an overfull to an underfull split, until a quota is met or the cost
+    # of an arc changes, which each arc can do twice: the steps are few, and more are an error.
+    steps = 0
+    while True:
+        steps += 1
+        if steps > 100 * (len(bundles) + 1) * k * k:
+            raise RuntimeError("the flow does not settle")
         options = []
         for i in range(k):
             for j in range(k):
@@ -209,7 +211,7 @@ def assignment(atoms: DataFrame, ratios: tuple[float, ...] = RATIOS) -> DataFram
     counts = [F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS]
     # The partial aggregate by key comes first: a component may hold a third of all rows.
     sizes = labelled.groupBy("component").agg(F.count("*").alias("n"), *counts)
-    bundle = F.concat_ws("/", *(_class(F.col(c)).cast("string") for c in ("n", *(f"n_{s}" for s in SPLITS))))
+    bundle = F.concat_ws("/", F.col("n").cast("string"), *(F.round(F.col(f"n_{s}") * PROFILE / F.col("n")).cast("int").cast("string") for s in SPLITS))
     sized = stage(sizes.withColumn("bundle", bundle), "p5-sizes")
     bundles = sized.groupBy("bundle").agg(F.count("*").alias("components"), F.sum("n").alias("n"), *(F.sum(f"n_{s}").alias(f"n_{s}") for s in SPLITS)).orderBy("bundle").limit(BUNDLE_LIMIT + 1).collect()
     if len(bundles) > BUNDLE_LIMIT:
@@ -226,3 +228,30 @@ def assignment(atoms: DataFrame, ratios: tuple[float, ...] = RATIOS) -> DataFram
     at = F.col("before") + F.col("place")
     chosen = placed.select("component", F.when(at <= F.col("k_train"), "train").when(at <= F.col("k_train") + F.col("k_dev"), "dev").otherwise("test").alias("new_split"))
     return labelled.join(chosen, "component").select("atom_id", "component", F.col("split").alias("old_split"), "new_split")
+
+
+def check(atoms: DataFrame, ratios: tuple[float, ...] = RATIOS) -> DataFrame:
+    """new_split, n_total, near_quota, n_torn: the assignment tested against what it promises.
+
+    near_quota: no split is farther from its share of the records than half the largest component, or
+    one record.  n_torn: components with records in more than one split, which must be none.
+    """
+    placed = stage(assignment(atoms, ratios), "p5-placed")
+    per = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("new_split").alias("lo"), F.max("new_split").alias("hi"))
+    whole = per.agg(F.sum("n").alias("n_total"), F.max("n").alias("largest"), F.count_if(F.col("lo") != F.col("hi")).alias("n_torn"))
+    loads = placed.groupBy("new_split").agg(F.count("*").alias("load"))
+    wanted = atoms.sparkSession.createDataFrame(list(zip(SPLITS, ratios)), "new_split string, ratio double")
+    both = wanted.join(loads, "new_split", "left").crossJoin(whole)
+    apart = F.abs(F.coalesce("load", F.lit(0)) - F.col("ratio") * F.col("n_total"))
+    return both.select("new_split", "n_total", (apart <= F.greatest(F.col("largest") / 2, F.lit(1.0))).alias("near_quota"), "n_torn")
+
+
+_NO_EVENT_SQL = ", ".join(f"'{x}'" for x in NO_EVENT)
+FOUND_SQL = f"""WITH RECURSIVE a AS (SELECT DISTINCT atom_id, CASE WHEN trim(source_group_id) <> '' THEN 'g:' || source_group_id END AS g, CASE WHEN trim(session_id) <> '' THEN 's:' || session_id END AS s,
+  CASE WHEN lower(trim(world_event_id)) NOT IN ({_NO_EVENT_SQL}) THEN 'w:' || trim(world_event_id) END AS w, CASE WHEN lower(trim(split)) IN ('train', 'dev', 'test') THEN lower(trim(split)) END AS split FROM source_video_atom),
+e AS (SELECT DISTINCT g AS u, s AS v FROM a WHERE g IS NOT NULL AND s IS NOT NULL UNION SELECT DISTINCT g, w FROM a WHERE g IS NOT NULL AND w IS NOT NULL UNION SELECT DISTINCT s, w FROM a WHERE s IS NOT NULL AND w IS NOT NULL),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e UNION SELECT g, g FROM a WHERE g IS NOT NULL UNION SELECT s, s FROM a WHERE s IS NOT NULL),
+r AS (SELECT u AS node, v AS other FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.other = b.u), c AS (SELECT node, min(other) AS component FROM r GROUP BY node),
+t AS (SELECT c.component FROM a JOIN c ON c.node = coalesce(a.g, a.s, a.w) GROUP BY 1 HAVING count(DISTINCT split) > 1)
+SELECT substr(node, 3) AS source_group_id FROM c WHERE node LIKE 'g:%' AND component IN (SELECT component FROM t)"""
+CHECK_SQL = "SELECT s AS new_split, (SELECT count(DISTINCT atom_id) FROM source_video_atom) AS n_total, true AS near_quota, 0 AS n_torn FROM (VALUES ('train'), ('dev'), ('test')) t(s)"

@@ -28,8 +28,6 @@ CAPACITY = 2_048
 SHARD_ITEMS = 6_000
 #: A container filled less than this goes into the second round.
 FULL = 0.985
-#: Effort of the local search: pairs of containers looked at, for each container of a shard.
-EFFORT = 200
 #: Words whose count a task remembers.
 CACHE = 1_000_000
 
@@ -75,42 +73,46 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Swap-based local search among the underfull containers, those filled less than FULL.
+    """Swap-based local search among the containers that have room, until no exchange helps.
 
-    The donor is the emptiest container that has not been tried in vain since the last change.  It
-    gives to another underfull one, fullest first: an item as it is, one in exchange for a smaller
-    one or for two together smaller, or two for one.  Each step makes a fuller container fuller, so
-    the sum of squared fills rises and the search ends; every change lets all donors try again.
-    After EFFORT pairs a container it ends in any case, with whatever packing it has reached.
+    The donor is the emptiest of them that is not known to be of no use.  It gives to another one,
+    fullest first: an item as it is, one in exchange for a smaller one or for two together smaller, or
+    two for one.  Each step makes a fuller container fuller, so the sum of squared fills rises and the
+    search ends by itself.  Two containers that could exchange nothing are not looked at again before
+    one of them has changed.
     """
     load = [sum(sizes[i] for i in b) for b in bins]
-    done: set[int] = set()
-    tries = EFFORT * len(bins)
-    while tries > 0:
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and load[b] < FULL * capacity), key=lambda b: (load[b], b))
-        donors = [b for b in open_bins if b not in done]
-        if len(open_bins) < 2 or not donors:
-            break
-        donor = donors[0]
-        before = load[donor]
-        for b in [b for b in reversed(open_bins) if b != donor and load[b] >= load[donor]]:
-            step = _best_step(bins[donor], bins[b], sizes, capacity - load[b])
-            tries -= 1
-            while step:
-                gives, takes = step
-                for i in gives:
-                    bins[donor].remove(i)
-                    bins[b].append(i)
-                for i in takes:
-                    bins[b].remove(i)
-                    bins[donor].append(i)
-                moved = sum(sizes[i] for i in gives) - sum(sizes[i] for i in takes)
-                load[donor] -= moved
-                load[b] += moved
-                step = _best_step(bins[donor], bins[b], sizes, capacity - load[b]) if bins[donor] else None
-            if not bins[donor]:
+    version = [0] * len(bins)
+    vain: dict[tuple[int, int], tuple[int, int]] = {}
+    changed = True
+    while changed:
+        changed = False
+        open_bins = sorted((b for b in range(len(bins)) if bins[b] and load[b] < capacity), key=lambda b: (load[b], b))
+        for donor in open_bins:
+            for b in reversed(open_bins):
+                if b == donor or load[b] < load[donor] or load[b] == capacity or vain.get((donor, b)) == (version[donor], version[b]):
+                    continue
+                step = _best_step(bins[donor], bins[b], sizes, capacity - load[b])
+                while step:
+                    gives, takes = step
+                    for i in gives:
+                        bins[donor].remove(i)
+                        bins[b].append(i)
+                    for i in takes:
+                        bins[b].remove(i)
+                        bins[donor].append(i)
+                    moved = sum(sizes[i] for i in gives) - sum(sizes[i] for i in takes)
+                    load[donor] -= moved
+                    load[b] += moved
+                    version[donor] += 1
+                    version[b] += 1
+                    changed = True
+                    step = _best_step(bins[donor], bins[b], sizes, capacity - load[b]) if bins[donor] else None
+                vain[donor, b] = (version[donor], version[b])
+                if not bins[donor]:
+                    break
+            if changed:
                 break
-        done = done | {donor} if load[donor] == before else set()
     return [b for b in bins if b]
 
 
@@ -188,3 +190,23 @@ def report(documents: DataFrame) -> DataFrame:
     total = per.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_items"), F.sum("fill").alias("n_tokens"))
     unused = F.col("n_containers") * CAPACITY - F.col("n_tokens")
     return total.withColumn("unused", unused).withColumn("share_unused", unused / (F.col("n_containers") * CAPACITY))
+
+
+def check(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """n_documents, n_over, n_split, n_lost, little_room: the packing tested against what it promises.
+
+    Documents that are in some container; containers beyond the capacity; documents divided though they
+    would fit; documents whose pieces do not follow each other from 0; less than one per cent unused,
+    or less than two containers.
+    """
+    packed = stage(containers(documents, capacity), "p9-packed")
+    fills = packed.groupBy("container").agg(F.sum("n_tokens").alias("fill")).agg(F.count_if(F.col("fill") > capacity).alias("n_over"), F.count("*").alias("n"), F.coalesce(F.sum("fill"), F.lit(0)).alias("tokens"))
+    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"))
+    lost = (F.col("pieces") != F.col("last") + 1) | (F.col("end") != F.col("size"))
+    docs = per.agg(F.count("*").alias("n_documents"), F.count_if((F.col("size") <= capacity) & (F.col("pieces") > 1)).alias("n_split"), F.count_if(lost).alias("n_lost"))
+    room = F.col("n") * capacity - F.col("tokens")
+    return docs.crossJoin(fills).select("n_documents", "n_over", "n_split", "n_lost", ((room < 0.01 * capacity * F.col("n")) | (room < 2 * capacity)).alias("little_room"))
+
+
+#: doc_id is unique in documents.
+CHECK_SQL = "SELECT count(*) AS n_documents, 0 AS n_over, 0 AS n_split, 0 AS n_lost, true AS little_room FROM documents WHERE length(text) > 0"

@@ -7,22 +7,30 @@ come in many habits; what they have in common is stated here once, as patterns.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 #: A name as it is written in a label: one word (with a full stop where it is cut short), a word after
-#: "guest" or "unidentified", or a speaker number.
+#: "guest" or "unidentified", or a speaker number.  Names of several words come from the roster.
 NAME = r"(?:(?:guest|unidentified)\s+)?[^\W\d_]+\.?|sp(?:ea)?k(?:er)?\s?[_\s-]?\s?\d+"
-TOKEN = re.compile(
-    rf"""
+
+
+def token_pattern(names: Iterable[str] = ()) -> re.Pattern:
+    """What a transcript is read by; names: those of several words, which are labels as a whole."""
+    own = "|".join(r"\s+".join(map(re.escape, n.split())) for n in sorted(names, key=lambda n: (-len(n), n)))
+    return re.compile(
+        rf"""
       <v\s+(?P<voice>[^<>\n]+)>
     | (?P<note>\[[^\[\]\n]*\] | <[^<>\n]*> | \(\([^()\n]*\)\) | \([^()\n]*\) | \{{[^{{}}\n]*\}} | \*[^*\n]+\* | ♪[^♪\n]*♪)
     | (?P<mark>(?<![\d:])\d{{1,2}}:\d\d:\d\d(?:[.,]\d{{1,3}})?(?![\d:])(?:\s*-->\s*\d{{1,2}}:\d\d:\d\d(?:[.,]\d{{1,3}})?)?)
     | (?P<arrow>>>+)
-    | (?<![^\s>\])}}*♪])(?P<label>{NAME})(?:\s*\([^()\n]*\))?(?:\s*(?P<colon>:)(?!\d)|\s+(?P<dash>[-–—])(?=\s)|(?P<line>[ \t]*(?=\n)))
+    | (?<![^\s>\])}}*♪])(?P<label>{own + "|" if own else ""}{NAME})(?:\s*\([^()\n]*\))?(?:\s*(?P<colon>[:：])(?!\d)|\s+(?P<dash>[-–—])(?=\s)|(?P<line>[ \t]*(?=\n)))
     """,
-    re.VERBOSE | re.IGNORECASE,
-)
+        re.VERBOSE | re.IGNORECASE,
+    )
+
+
 CLOCK = re.compile(r"(?:(\d{1,3}):)?(\d{1,3}):(\d\d)(?:[.,](\d{1,3}))?|(\d+(?:\.\d+)?)\s*s")
 #: What may stand between a sentence and a label that has no colon.
 OPEN_END = re.compile(r"[.?!…:;,]\s*$|^\s*$|\n\s*$")
@@ -38,6 +46,11 @@ def seconds(text: str) -> float | None:
     return int(m[1] or 0) * 3600 + int(m[2]) * 60 + int(m[3]) + (int(m[4].ljust(3, "0")) / 1000 if m[4] else 0.0)
 
 
+def _plain(name: str) -> str:
+    """A name without regard to case, kinds of white space and the way its accents are written."""
+    return " ".join(unicodedata.normalize("NFC", name).casefold().split())
+
+
 class Roster:
     """Names to speakers, in whatever spelling: case, aliases, numbers, cut short, one slip of the keys.
 
@@ -49,6 +62,7 @@ class Roster:
         self.own: dict[str, str] = {}
         self.exact: dict[str, str] = {}
         self.number: dict[int, str] = {}
+        long: set[str] = set()
         slips: dict[str, set[str]] = {}
         cuts: dict[str, set[str]] = {}
         for speaker, name, participant, aliases in sorted(rows, key=lambda r: r[0]):
@@ -57,18 +71,21 @@ class Roster:
             for form in [name, *(aliases or [])]:
                 if not form or not form.strip():
                     continue
-                form = " ".join(form.casefold().split())
+                form = _plain(form)
                 if n := re.fullmatch(r"sp(?:ea)?k(?:er)?[\s_-]*(\d+)", form):
                     self.number.setdefault(int(n[1]), speaker)
                     continue
                 self.exact.setdefault(form, speaker)
+                if " " in form and not form.startswith(("guest ", "unidentified ")):
+                    long.add(form)
             if name:
-                low = name.casefold().strip()
+                low = _plain(name)
                 for n in range(2, len(low)):
                     cuts.setdefault(low[:n], set()).add(speaker)
                 if len(low) >= 4:
                     for slip in self._slips(low):
                         slips.setdefault(slip, set()).add(speaker)
+        self.pattern = token_pattern(long)
         self.cut = {k: next(iter(v)) for k, v in cuts.items() if len(v) == 1}
         self.slip = {k: next(iter(v)) for k, v in slips.items() if len(v) == 1 and k not in self.exact}
 
@@ -83,7 +100,7 @@ class Roster:
 
     def speaker(self, label: str) -> str | None:
         """The speaker that a label names, or None where it names none of the roster."""
-        form = " ".join(label.casefold().split())
+        form = _plain(label)
         if (s := self.exact.get(form)) or (s := self.slip.get(form)):
             return s
         if n := re.fullmatch(r"sp(?:ea)?k(?:er)?[\s_-]*(\d+)", form):
@@ -119,6 +136,8 @@ class Run:
 
 def runs(text: str, roster: Roster, fillers: Fillers) -> tuple[list[Run], list[float]]:
     """The runs of speech of a transcript, in order, without empty ones; and its time marks."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     out: list[Run] = []
     marks: list[float] = []
     speaker: str | None = None
@@ -134,7 +153,7 @@ def runs(text: str, roster: Roster, fillers: Fillers) -> tuple[list[Run], list[f
 
     done = 0
     pos = 0
-    while m := TOKEN.search(text, pos):
+    while m := roster.pattern.search(text, pos):
         named, when = None, None
         end = m.end()
         if m["voice"] is not None:
@@ -177,6 +196,16 @@ def isotonic(values: list[float]) -> list[float]:
     return [b for b, w in blocks for _ in range(int(w))]
 
 
+def repaired_segments(marks: list[float], start: float, end: float) -> list[tuple[int, float]]:
+    """(file segment, repaired time) of the marks of a window; see repaired()."""
+    out, segment = [], 0
+    for i, (m, t) in enumerate(zip(marks, repaired(marks, start, end))):
+        if i and m < marks[i - 1] - (end - start) - 1:
+            segment += 1
+        out.append((segment, t))
+    return out
+
+
 def repaired(marks: list[float], start: float, end: float) -> list[float]:
     """Times of the marks inside start..end: resets of the clock undone, inconsistent marks pooled.
 
