@@ -13,7 +13,7 @@ from tidemark.llm.confusables import skeleton, stands_in
 
 
 def test_skeletons():
-    same = [("ｃａｆé", "café"), ("сup", "cup"), ("a​b­", "ab"), ("a b", "a b"), ("ﬁn", "fin"), ("Αb", "Ab"), ("k͏ey", "key"), ("Ԛ", "Q")]
+    same = [("ｃａｆé", "café"), ("сup", "cup"), ("a​b­", "ab"), ("a b", "a b"), ("ﬁn", "fin"), ("Αb", "Ab"), ("k͏ey", "key"), ("Ԛ", "Q"), ("κit", "kit"), ("ſew", "few"), ("ьox", "box")]
     for a, b in same:
         assert skeleton(a) == skeleton(b), (a, b)
     different = [("cafe", "café"), ("Cup", "cup"), ("O", "0"), ("l", "1"), ("I", "l"), ("x²", "x2"), ("a b", "ab"), ("a-b", "a b"), ("①", "1")]
@@ -56,7 +56,8 @@ def test_found(spark):
     got = sorted(map(tuple, p7.found(cues, atoms, ref).collect()))
     assert got == [("c1", 0, "span"), ("c1", 0, "value"), ("c5", 1, "value")]
     assert p7.found(cues.limit(0), atoms, ref).count() == 0 and p7.found(cues, atoms.limit(0), ref.limit(0)).count() == 0
-    assert {r.first_form: r.n_forms for r in p7.groups(cues).collect()}["cup"] == 2
+    grouped = {(r.kind, r.first_form): r.n_forms for r in p7.groups(cues, atoms).collect()}
+    assert grouped["value", "cup"] == 2 and grouped["span", "red cup"] == 2 and grouped["dense_caption", "a red cup"] == 1
     assert p7.consistent(cues, atoms).where("skeleton = 'red cup'").count() == 5
 
 

@@ -58,6 +58,22 @@ def test_held_out_accuracy(spark, tables):
     assert not got.keys() & {900, 901, 902}
 
 
+def test_functions_have_the_accuracy_they_show(spark, tables):
+    rows, *t = tables
+    got = {(r.kind, r.key): r for r in p10.functions(*t).collect()}
+    assert {k for k, _ in got} >= {"word", "pair", "source"}
+    assert all(0 <= r.accuracy <= 1 and r.n_votes > 0 for r in got.values())
+    # A subject's word votes for its subject, but stands in decoys too; a pair that only a decoy has votes for none.
+    for subject, terms in TERMS.items():
+        assert all(got["word", w].vote in (subject, "none") for w in terms)
+    assert got["pair", "mumbled something"].vote == "none" and got["pair", "mumbled something"].accuracy > 0.9
+
+
+def test_titles_end_no_sentence():
+    assert p10.sentences("Dr. Smith came. Mrs. Jones left.") == ["Dr. Smith came.", "Mrs. Jones left."]
+    assert p10.tokens("Two 2 words") == ["two", "2", "words"] and p10.words("Mirela saw 12 cats", frozenset(["mirela"])) == ["<n>", "saw", "<9>", "cats"]
+
+
 def test_nothing(spark, tables):
     _, docs, labels, ref, roster = tables
     assert p10.found(docs.limit(0), labels, ref, roster).count() == 0

@@ -2,7 +2,10 @@
 
 FIXED VALUES.  Letters of other scripts that look like a Latin letter of the same case (a subset of
 the public Unicode list of confusable characters; pairs of differing case, accent or of a digit and a
-letter are left out, since these differences are visible here).
+letter are left out, since these differences are visible here).  Covered are Latin, Greek, Cyrillic,
+Armenian, Cherokee and Hebrew letters and punctuation; letters that show as small capitals (like
+Cyrillic em and te) have no lower-case Latin prototype.  Styled, wide and presentation forms are not
+listed: they follow from the decompositions that unicodedata gives.
 """
 
 from __future__ import annotations
@@ -12,13 +15,16 @@ import unicodedata
 #: prototype: the characters that look like it.
 LOOK_ALIKES: dict[str, str] = {
     "a": "аɑα",
-    "c": "сϲᴄ",
+    "b": "ƅьᏏ",
+    "c": "сϲᴄⅽ",
     "d": "ԁᑯ",
     "e": "еҽ℮",
+    "f": "ſꞙẝք",
     "g": "ɡցᶃ",
     "h": "һհ",
     "i": "іιıɩꙇ",
     "j": "јϳյ",
+    "k": "κкᴋĸ",
     "l": "ӏǀ",
     "n": "ոռ",
     "o": "оοօσᴏᴑ",

@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.confusables import skeleton
-from tidemark.plans.staging import spread
+from tidemark.plans.staging import spread, stage
 
 SHARE, MIN_SENTENCES = 0.3, 3
 TRAIN_PER_LANG, TRAIN_MAX = 2_500, 6_000
@@ -40,6 +41,8 @@ REF_LIMIT = 50_000
 MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.MULTILINE)
 LEAD = re.compile(r"^[ \t]*(?:[-*•][ \t]+(?:-[ \t]+)*|\d+[.)][ \t]+|\[[\d:.]+\][ \t]*(?:[^\W\d_]+[ \t]?:)?|D\d+[ \t]+\d+:\d+[ \t]*\|)", re.MULTILINE | re.IGNORECASE)
+#: A full stop behind one of these ends no sentence; the gap behind it is kept from the breaks by a private character.
+TITLE, KEPT = re.compile(r"\b(Dr|Mr|Ms|St|Nr|Sr|Mrs|Prof)\.[ \t]+"), "\ue000"
 BREAK = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+|(?<=[。！？])[”」』]*\s*|(?<=[㐀-鿿][.!?])\s*(?=[㐀-鿿])|\x1e")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 CJK = re.compile(r"([㐀-鿿])")
@@ -51,7 +54,10 @@ def sentences(text: str | None) -> list[str]:
         return []
     text = MARKUP.sub(" ", text.replace("\r", "\n"))
     text = LEAD.sub("\x1e", HEADING.sub("\x1e", skeleton_lines(text)))
-    return [s for s in (p.strip() for p in BREAK.split(text)) if any(c.isalpha() for c in s)]
+    if titles := TITLE.search(text):
+        text = TITLE.sub(rf"\1.{KEPT}", text)
+    found = [s for s in (p.strip() for p in BREAK.split(text)) if any(c.isalpha() for c in s)]
+    return [s.replace(KEPT, " ") for s in found] if titles else found
 
 
 def skeleton_lines(text: str) -> str:
@@ -63,9 +69,26 @@ def skeleton_lines(text: str) -> str:
     return "\n".join(unicodedata.normalize("NFC", skeleton(line)) for line in text.split("\n"))
 
 
+def tokens(sentence: str) -> list[str]:
+    """Lower-case words and numbers; each CJK character a word."""
+    return WORD.findall(sentence.lower() if sentence.isascii() else CJK.sub(r" \1 ", sentence).lower())
+
+
 def words(sentence: str, names: frozenset[str]) -> list[str]:
-    """Lower-case words; names of the roster and numbers as such; each CJK character a word."""
-    return ["<n>" if w in names else "<9>" if w[0].isdigit() else w for w in WORD.findall(CJK.sub(r" \1 ", sentence).lower())]
+    """tokens() with names of the roster and numbers as such."""
+    return ["<n>" if w in names else "<9>" if w[0].isdigit() else w for w in tokens(sentence)]
+
+
+class Numbers(dict):
+    """Token to word id: names of the roster count as <n>, numbers as <9>, what is not known as 0."""
+
+    def __init__(self, vocabulary: dict[str, int], names: Iterable[str]):
+        super().__init__(vocabulary)
+        self.update(dict.fromkeys(names, vocabulary.get("<n>", 0)))
+        self.digits = vocabulary.get("<9>", 0)
+
+    def __missing__(self, token: str) -> int:
+        return self.digits if token[0].isdigit() else 0
 
 
 @dataclass
@@ -80,12 +103,17 @@ class Model:
     pairs: np.ndarray = field(default_factory=lambda: np.empty(0))
     context: dict[str, np.ndarray] = field(default_factory=dict)
     prior: np.ndarray = field(default_factory=lambda: np.empty(0))
+    #: (kind, key, vote, n_votes, accuracy) of each labelling function.
+    functions: list[tuple[str, str, str, int, float]] = field(default_factory=list)
+
+    def numbers(self) -> Numbers:
+        return Numbers(self.vocabulary, self.names)
 
-    def features(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word ids, their sentence, pair indexes, their sentence); an unknown word has the id 0."""
-        get = self.vocabulary.get
+    def features(self, lists: list[list[str]], get: Numbers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word ids, their sentence, pair indexes, their sentence) of lists of tokens; get is numbers(), made once for many calls."""
+        get = get or self.numbers()
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((get(w, 0) for ws in lists for w in ws), np.int64, int(sizes.sum()))
+        ids = np.fromiter(map(get.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
         of = np.repeat(np.arange(len(lists)), sizes)
         joined = (of[1:] == of[:-1]) if len(of) else np.empty(0, bool)
         code = (ids[:-1] << 24 | ids[1:])[joined] if len(ids) else ids
@@ -96,9 +124,9 @@ class Model:
         known = self.pair_codes[at] == code
         return ids, of, at[known], where[known]
 
-    def posterior(self, lists: list[list[str]], context: list[list[str]], prior: np.ndarray | None = None) -> np.ndarray:
+    def posterior(self, lists: list[list[str]], context: list[list[str]], prior: np.ndarray | None = None, get: Numbers | None = None) -> np.ndarray:
         """Class probabilities of each sentence; context: the source, section and address of its document."""
-        ids, of, at, where = self.features(lists)
+        ids, of, at, where = self.features(lists, get)
         k = len(self.subjects) + 1
         score = np.tile(self.prior, (len(lists), 1)) if prior is None else np.log(prior)
         for index, values, rows in ((ids, self.single, of), (at, self.pairs, where)):
@@ -150,13 +178,14 @@ def train(documents: Iterable[tuple], subjects: list[str], names: Iterable[str],
         p[0] = 0.0
         p[0] = 1 - p.sum()
         for s in sentences(text):
-            lists.append(words(s, model.names))
+            lists.append(tokens(s))
             context.append(_context(source, section, address))
             prior.append(p)
     model.prior = np.zeros(k)
     if not lists:
         return model
-    seen = Counter(w for ws in lists for w in ws)
+    plain = lambda w: "<n>" if w in model.names else "<9>" if w[0].isdigit() else w
+    seen = Counter(map(plain, chain.from_iterable(lists)))
     model.vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_COUNT))}
     n_words = len(model.vocabulary) + 1
     ids, of, _, _ = model.features(lists)
@@ -178,34 +207,83 @@ def train(documents: Iterable[tuple], subjects: list[str], names: Iterable[str],
         model.context = {x: votes[i] for x, i in place_of.items()}
         p = model.posterior(lists, context, prior)
     model.prior = np.log((p.sum(axis=0) + 1) / (len(p) + k))
+    known = {i: w for w, i in model.vocabulary.items()}
+    pair = lambda c: f"{known.get(int(c) >> 24, '?')} {known.get(int(c) & 0xFFFFFF, '?')}"
+    spoken = [known.get(i, "?") for i in range(n_words)]
+    for kind, votes, rows_, index, keys in (("word", model.single, of, ids, spoken), ("pair", model.pairs, where, at, [pair(c) for c in model.pair_codes]), ("", votes, rows, place, places)):
+        model.functions += _functions(kind, votes, p, rows_, index, keys, model.subjects)
     return model
 
 
+def _functions(kind: str, votes: np.ndarray, p: np.ndarray, rows: np.ndarray, index: np.ndarray, keys: list[str], subjects: list[str]) -> list[tuple[str, str, str, int, float]]:
+    """Each labelling function with the class it votes for and the accuracy learned for it: how probable that class is where it votes.
+
+    The vote of a word or a pair is the class it leans to most; one that leans to none does not vote.
+    """
+    if not len(votes):
+        return []
+    vote = votes.argmax(axis=1)
+    n = np.bincount(index, minlength=len(votes))
+    right = np.bincount(index, p[rows, vote[index]], len(votes))
+    out = []
+    for i in np.flatnonzero((n > 0) & (votes.max(axis=1) > votes.min(axis=1))):
+        what, key = (kind, keys[i]) if kind else keys[i].split(":", 1)
+        out.append((what, key, subjects[vote[i] - 1] if vote[i] else "none", int(n[i]), float(right[i] / n[i])))
+    return out
+
+
 def sample(documents: DataFrame, labels: DataFrame) -> list[tuple]:
     """The training sample: labelled documents in the order of a hash, bounded by language and in all."""
     votes = labels.select("doc_id", F.lower(F.trim("subject")).alias("label")).where("label is not null and label <> ''").groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
     order = F.xxhash64("doc_id")
+    # Only ids and languages are ranked; no partition sends more than the bound, and texts are fetched for the chosen ids alone.
     ranked = (
         documents.where("text is not null")
-        .select("doc_id", "lang", "text", "source", "doc_type", "participant_source_id")
-        .join(votes, "doc_id")
+        .select("doc_id", "lang")
+        .join(votes, "doc_id", "left_semi")
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
         .where(F.col("n") <= TRAIN_PER_LANG)
     )
-    rows = ranked.orderBy(order, "doc_id").limit(TRAIN_MAX).select("text", "source", "doc_type", "participant_source_id", "labels").collect()
+    chosen = stage(ranked.orderBy(order, "doc_id").limit(TRAIN_MAX).select("doc_id"), "p10-sample")
+    texts = documents.where("text is not null").select("doc_id", "text", "source", "doc_type", "participant_source_id").join(F.broadcast(chosen), "doc_id")
+    own = votes.join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = texts.join(F.broadcast(own), "doc_id").orderBy(order, "doc_id").select("text", "source", "doc_type", "participant_source_id", "labels").collect()
     return [tuple(r) for r in rows]
 
 
+def _listed(df: DataFrame) -> list:
+    """The rows of a reference table, which is kept by hand; ValueError beyond REF_LIMIT."""
+    rows = df.limit(REF_LIMIT + 1).collect()
+    if len(rows) > REF_LIMIT:
+        raise ValueError(f"a reference table of more than {REF_LIMIT} rows")
+    return rows
+
+
+def fitted(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster: DataFrame) -> tuple[Model, dict[str, str]]:
+    """(model, subject in lower case to subject as it is written)."""
+    shown = {r[0].strip().lower(): r[0] for r in sorted(_listed(reference.select("subject").where("subject is not null").distinct()))}
+    names = [n for r in _listed(roster.select("display_name", "aliases")) for n in [r[0], *(r[1] or [])] if n]
+    return train(sample(documents, labels), list(shown), names), shown
+
+
+def functions(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster: DataFrame) -> DataFrame:
+    """kind, key, vote, n_votes, accuracy: the labelling functions with the accuracy learned for each.
+
+    As many rows as the sample has words, pairs, sources, sections and addresses that vote.
+    """
+    model, shown = fitted(documents, labels, reference, roster)
+    rows = [(kind, key, shown.get(vote, vote), n, accuracy) for kind, key, vote, n, accuracy in model.functions]
+    return documents.sparkSession.createDataFrame(rows, "kind string, key string, vote string, n_votes bigint, accuracy double")
+
+
 def shares(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster: DataFrame) -> DataFrame:
     """doc_id, n_sentences, subject, share: the expected share of sentences about each subject, where above 0.05."""
-    subjects = [r[0].strip().lower() for r in reference.select("subject").where("subject is not null").distinct().limit(REF_LIMIT).collect()]
-    names = [n for r in roster.select("display_name", "aliases").limit(REF_LIMIT).collect() for n in [r[0], *(r[1] or [])] if n]
-    shown = {r[0].strip().lower(): r[0] for r in reference.select("subject").where("subject is not null").limit(REF_LIMIT).collect()}
-    model = train(sample(documents, labels), subjects, names)
+    model, shown = fitted(documents, labels, reference, roster)
     shared = documents.sparkSession.sparkContext.broadcast((model, shown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, shown = shared.value
+        get = model.numbers()
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
@@ -216,11 +294,11 @@ def shares(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster
                     if len(found) >= MIN_SENTENCES:
                         begins.append(len(lists))
                         kept.append((ids[d], len(found)))
-                        lists.extend(words(s, model.names) for s in found)
+                        lists.extend(map(tokens, found))
                         context.extend([_context(*place)] * len(found))
                 if not kept or not len(model.single):
                     continue
-                p = np.add.reduceat(model.posterior(lists, context), np.array(begins), axis=0)
+                p = np.add.reduceat(model.posterior(lists, context, get=get), np.array(begins), axis=0)
                 n = np.array([x for _, x in kept])
                 share = p / n[:, None]
                 d, s = np.nonzero(share[:, 1:] > 0.05)

@@ -67,22 +67,26 @@ def found(cues: DataFrame, atoms: DataFrame, reference: DataFrame) -> DataFrame:
     return in_look.union(alike.select("cue_id", "clause_index", F.lit("value").alias("field"))).distinct()
 
 
-def consistent(cues: DataFrame, atoms: DataFrame) -> DataFrame:
-    """kind, key, clause_index, skeleton: every span, value and caption in its consistent form."""
+def _texts(cues: DataFrame, atoms: DataFrame) -> DataFrame:
+    """kind, key, clause_index, text of every span, value and caption."""
     clauses = _clauses(cues).distinct()
-    texts = (
+    return (
         clauses.select(F.lit("span").alias("kind"), F.col("cue_id").alias("key"), "clause_index", F.col("span").alias("text"))
         .union(clauses.select(F.lit("value"), "cue_id", "clause_index", "value"))
         .union(atoms.select(F.lit("dense_caption"), "atom_id", F.lit(0), "dense_caption").distinct())
         .where("text is not null")
     )
-    return skeletons(texts, ["text"]).select("kind", "key", "clause_index", F.col("text_skeleton").alias("skeleton"))
 
 
-def groups(cues: DataFrame) -> DataFrame:
-    """skeleton, n_forms, n_clauses, first_form: cue values that look the same, grouped.
+def consistent(cues: DataFrame, atoms: DataFrame) -> DataFrame:
+    """kind, key, clause_index, skeleton: every span, value and caption in its consistent form."""
+    return skeletons(_texts(cues, atoms), ["text"]).select("kind", "key", "clause_index", F.col("text_skeleton").alias("skeleton"))
+
+
+def groups(cues: DataFrame, atoms: DataFrame) -> DataFrame:
+    """kind, skeleton, n_forms, n_texts, first_form: spans, values and captions that look the same, grouped by their skeleton.
 
-    Each distinct value is one row before it meets its group; only counts and the smallest form are kept.
+    Each distinct text is one row before it meets its group; only counts and the smallest form are kept.
     """
-    forms = _clauses(cues).select("cue_id", "clause_index", "value").where("value is not null").distinct().groupBy("value").agg(F.count("*").alias("n"))
-    return skeletons(forms, ["value"]).groupBy(F.col("value_skeleton").alias("skeleton")).agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_clauses"), F.min("value").alias("first_form"))
+    forms = _texts(cues, atoms).groupBy("kind", "text").agg(F.count("*").alias("n"))
+    return skeletons(forms, ["text"]).groupBy("kind", F.col("text_skeleton").alias("skeleton")).agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_texts"), F.min("text").alias("first_form"))

@@ -40,7 +40,7 @@ def queries() -> dict[str, Query]:
         "p5_check": lambda s, d: p5.check(table(s, d, "source_video_atom")),
         "p7_found": lambda s, d: p7.found(table(s, d, "cue_v2"), table(s, d, "source_video_atom"), table(s, d, "cue_value_ref")),
         "p7_consistent": lambda s, d: p7.consistent(table(s, d, "cue_v2"), table(s, d, "source_video_atom")),
-        "p7_groups": lambda s, d: p7.groups(table(s, d, "cue_v2")),
+        "p7_groups": lambda s, d: p7.groups(table(s, d, "cue_v2"), table(s, d, "source_video_atom")),
         "p8_ids": lambda s, d: p8.encode(table(s, d, "documents")),
         "p8_decoded": lambda s, d: p8.decode(p8.encode(table(s, d, "documents"))),
         "p9_containers": lambda s, d: p9.containers(table(s, d, "documents")),
@@ -48,6 +48,7 @@ def queries() -> dict[str, Query]:
         "p9_check": lambda s, d: p9.check(table(s, d, "documents")),
         "p10_found": lambda s, d: p10.found(*(table(s, d, t) for t in _P10)),
         "p10_shares": lambda s, d: p10.shares(*(table(s, d, t) for t in _P10)),
+        "p10_functions": lambda s, d: p10.functions(*(table(s, d, t) for t in _P10)),
         "p10_composition": lambda s, d: p10.composition(*(table(s, d, t) for t in _P10)),
     }
 
