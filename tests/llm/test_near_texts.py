@@ -247,7 +247,7 @@ def test_runs_and_cells_give_all_near_pairs(rule):
 def test_a_phrase_in_all_rows_ends_in_seconds(spark):
     rng = random.Random(10)
     phrase = "this recording is for training only and must not be shared "
-    n = 20_000
+    n = 50_000
     data = [(f"a{i:05d}", "P", "train" if i % 3 else "dev", phrase + " ".join(rng.choice(WORDS) for _ in range(14))) for i in range(n)]
     data.append(("b", "P", "dev", data[1][3] + " again"))
     df = spark.createDataFrame(data, "atom_id string, participant_source_id string, split string, visible_text string")

@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.textsim import MAX_BITS, bit_sketch, mix
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import release, stage
 
 #: Texts that are packed together, texts that are hashed at a time, and entries of a bucket.
 UNIT, AT_ONCE, BUCKET = 20_000, 2_000, 500_000
 #: Shuffle partitions at most; each takes its buckets one after the other.
 PARTS = 20_000
 #: Members from which a run is compared in cells, and the members of a block of a cell.
-HOT, BLOCK = 4_096, 2_048
+HOT, BLOCK = 16_384, 8_192
+#: Cells that one task compares.
+CELLS = 8
 #: Bits of a key that are compared, and bytes of a difference of sorted keys that are sent as they are.
 KEY_BITS, RAW = 40, 2
 #: Pairs that one comparison of arrays makes.
@@ -261,5 +263,10 @@ def near_pairs(texts: DataFrame, keys: Keys, keys_per_text: float, words: int =
     parts = min(buckets, PARTS)
     sent = packed(texts, keys, buckets, words).repartition(parts, "bucket").sortWithinPartitions("bucket")
     met = stage(sent.mapInArrow(run, _MET), name + "-runs")
-    cells = met.where("a is not null").select("a", "b").repartition(parts).mapInArrow(compare, "id1 bigint, id2 bigint")
-    return stage(met.where("a is null").select("id1", "id2").union(cells).distinct(), name)
+    pairs = met.where("id1 is not null").select("id1", "id2")
+    if n_cells := met.where("id1 is null").count():
+        cells = met.where("id1 is null").select("a", "b").repartition(-(-n_cells // CELLS))
+        pairs = pairs.union(cells.mapInArrow(compare, "id1 bigint, id2 bigint"))
+    out = stage(pairs.distinct(), name)
+    release(met)
+    return out

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -40,10 +40,11 @@ REF_LIMIT = 50_000
 
 MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|&(?:nbsp|amp|lt|gt|quot|#\d+);")
 HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.MULTILINE)
-LEAD = re.compile(r"^[ \t]*(?:[-*•][ \t]+(?:-[ \t]+)*|\d+[.)][ \t]+|\[[\d:.]+\][ \t]*(?:[^\W\d_]+[ \t]?:)?|D\d+[ \t]+\d+:\d+[ \t]*\|)", re.MULTILINE | re.IGNORECASE)
+LEAD = re.compile(r"[ \t]*(?:[-*•][ \t]+(?:-[ \t]+)*|\d+[.)][ \t]+|\[[\d:.]+\][ \t]*(?:[^\W\d_]+[ \t]?:)?|D\d+[ \t]+\d+:\d+[ \t]*\|)", re.IGNORECASE)
 #: A full stop behind one of these ends no sentence; the gap behind it is kept from the breaks by a private character.
 TITLE, KEPT = re.compile(r"\b(Dr|Mr|Ms|St|Nr|Sr|Mrs|Prof)\.[ \t]+"), "\ue000"
 BREAK = re.compile(r"(?<=[.!?])[\"”»')\]]*\s+|(?<=[。！？])[”」』]*\s*|(?<=[㐀-鿿][.!?])\s*(?=[㐀-鿿])|\x1e")
+LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 CJK = re.compile(r"([㐀-鿿])")
 
@@ -52,11 +53,17 @@ def sentences(text: str | None) -> list[str]:
     """The sentences of a text, without markup, headings and what leads a line of a list or an export."""
     if not text:
         return []
-    text = MARKUP.sub(" ", text.replace("\r", "\n"))
-    text = LEAD.sub("\x1e", HEADING.sub("\x1e", skeleton_lines(text)))
+    if "\r" in text:
+        text = text.replace("\r", "\n")
+    if "<" in text or "&" in text:
+        text = MARKUP.sub(" ", text)
+    text = skeleton_lines(text)
+    if "#" in text:
+        text = HEADING.sub("\x1e", text)
+    text = "\n".join(["\x1e" + line[m.end() :] if (m := LEAD.match(line)) else line for line in text.split("\n")])
     if titles := TITLE.search(text):
         text = TITLE.sub(rf"\1.{KEPT}", text)
-    found = [s for s in (p.strip() for p in BREAK.split(text)) if any(c.isalpha() for c in s)]
+    found = [s for s in map(str.strip, BREAK.split(text)) if LETTER.search(s)]
     return [s.replace(KEPT, " ") for s in found] if titles else found
 
 
@@ -106,6 +113,10 @@ class Model:
     #: (kind, key, vote, n_votes, accuracy) of each labelling function.
     functions: list[tuple[str, str, str, int, float]] = field(default_factory=list)
 
+    def narrow(self) -> Model:
+        """The same model with votes of single precision, for scoring."""
+        return replace(self, single=self.single.astype(np.float32), pairs=self.pairs.astype(np.float32), functions=[])
+
     def numbers(self) -> Numbers:
         return Numbers(self.vocabulary, self.names)
 
@@ -279,7 +290,7 @@ def functions(documents: DataFrame, labels: DataFrame, reference: DataFrame, ros
 def shares(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster: DataFrame) -> DataFrame:
     """doc_id, n_sentences, subject, share: the expected share of sentences about each subject, where above 0.05."""
     model, shown = fitted(documents, labels, reference, roster)
-    shared = documents.sparkSession.sparkContext.broadcast((model, shown))
+    shared = documents.sparkSession.sparkContext.broadcast((model.narrow(), shown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, shown = shared.value
