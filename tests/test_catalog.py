@@ -46,19 +46,20 @@ def test_split_allocation_is_the_fold(spark, con, data_dir):
 
 
 def test_normal_forms_of_every_caption(spark, con, data_dir):
-    caption = dict(con.execute("SELECT DISTINCT atom_id, dense_caption FROM source_video_atom WHERE dense_caption IS NOT NULL").fetchall())
+    caption = {(a, "dense_caption"): t for a, t in con.execute("SELECT DISTINCT atom_id, dense_caption FROM source_video_atom WHERE dense_caption IS NOT NULL").fetchall()}
+    caption |= {(a, "transcript"): t for a, t in con.execute("SELECT DISTINCT atom_id, transcript FROM source_video_atom WHERE transcript IS NOT NULL").fetchall()}
     rows = Q["normal_forms"](spark, data_dir).collect()
     assert len(rows) == len(caption)
     for r in rows:
-        wide = unicodedata.normalize("NFKC", caption[r.atom_id])
+        wide = unicodedata.normalize("NFKC", caption[r.atom_id, r.field])
         assert r.tidy == re.sub(r"\s+", " ", wide).strip() and r.folded == re.sub(r"\s+", " ", wide.casefold()).strip()
         assert r.evidence == "".join(c for c in wide.casefold() if not (c.isspace() or unicodedata.category(c)[0] == "P" or unicodedata.category(c) == "Cf"))
-        assert r.has_content == any(unicodedata.category(c)[0] in "LN" for c in caption[r.atom_id])
+        assert r.has_content == any(unicodedata.category(c)[0] in "LN" for c in caption[r.atom_id, r.field])
 
 
 def test_evidence_spans_stand_in_their_captions(spark, con, data_dir):
-    caption = dict(con.execute("SELECT DISTINCT atom_id, dense_caption FROM source_video_atom").fetchall())
-    span = {(c, i): (a, s) for c, a, i, s in con.execute("SELECT DISTINCT cue_id, atom_id, i, p.evidence.span FROM (SELECT cue_id, atom_id, unnest(range(len(predicate.all_of))) AS i, unnest(predicate.all_of) AS p FROM cue_v2) WHERE p.evidence.field = 'dense_caption'").fetchall()}
+    caption = {(a, f): t for a, c, s in con.execute("SELECT DISTINCT atom_id, dense_caption, transcript FROM source_video_atom").fetchall() for f, t in (("dense_caption", c), ("transcript", s))}
+    span = {(c, i): ((a, f), s) for c, a, i, s, f in con.execute("SELECT DISTINCT cue_id, atom_id, i, p.evidence.span, p.evidence.field FROM (SELECT cue_id, atom_id, unnest(range(len(predicate.all_of))) AS i, unnest(predicate.all_of) AS p FROM cue_v2) WHERE p.evidence.field IN ('dense_caption', 'transcript')").fetchall()}
     rows = Q["evidence_spans"](spark, data_dir).collect()
     assert len(rows) == len(span) and any(r.slice is None for r in rows) and any(r.slice for r in rows)
     for r in rows:

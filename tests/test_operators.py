@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import char_trigrams
-from tidemark.operators import align, allocate, automaton, evidence, graph, intervals, ledger, retrieve, scenarios, setsim, statistics, validate
+from tidemark.operators import align, allocate, automaton, evidence, graph, intervals, ledger, prefix, retrieve, scenarios, setsim, statistics, validate
 from tidemark.operators.allocate import floor_quotas
 from tidemark.operators.graph import connected_components
 from tidemark.operators.retrieve import minibatch_centres, minibatch_clustered
@@ -339,3 +339,27 @@ def test_minibatch_finds_what_is_apart(spark):
     got = {r.id: r.cluster for r in minibatch_clustered(df, "id", "v", 6).collect()}
     assert 999 not in got and all(len({got[40 * c + i] for i in range(40)}) == 1 for c in range(6)) and len(set(got.values())) == 6
     assert minibatch_clustered(df.where("false"), "id", "v", 6).count() == 0
+
+
+def test_running_aggregates_across_partitions(spark):
+    rng = random.Random(8)
+    data = [(k, i, rng.choice([None, rng.randrange(100)])) for k in ("a", "b", None) for i in range(rng.randrange(60, 90))] + [("hot", i, i % 17) for i in range(900)]
+    rng.shuffle(data)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = prefix.ranged(spark.createDataFrame(data, "k string, o int, v int"), "k", ["o"])
+        assert rows.where("k = 'hot'").select(prefix.PART).distinct().count() > 1
+        out = prefix.running_sum(rows, "k", ["o"], F.col("v"), "s")
+        out = prefix.running_max(out, "k", ["o"], F.col("v"), "m", inclusive=False)
+        out = prefix.first_or_last(out, "k", ["o"], F.col("v"), "f", last=False)
+        got = {(r.k, r.o): (r.s, r.m, r.f, r.l) for r in prefix.first_or_last(out, "k", ["o"], F.col("v"), "l", last=True, inclusive=False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(data)
+    for k in ("a", "b", None, "hot"):
+        seen = []
+        for _, o, v in sorted((x for x in data if x[0] == k), key=lambda x: x[1]):
+            before = [x for x in seen if x is not None]
+            seen.append(v)
+            upto = [x for x in seen if x is not None]
+            assert got[k, o] == (sum(upto) if upto else None, max(before) if before else None, upto[0] if upto else None, before[-1] if before else None)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import PART, ranged, running_sum
+
 
 def content_hash(columns: list[str]) -> Column:
     """SHA-256 of the columns as JSON with nulls kept, in the order given."""
@@ -21,11 +23,13 @@ def idempotent(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def running_budget(df: DataFrame, key: str, order: list[str], amount: str, cap: float, kind: str = "decimal(18,2)") -> DataFrame:
-    """df with spent (running sum in order) and stopped (the cap was passed before this row)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(F.col(amount).cast(kind)).over(w)
-    out = df.withColumn("spent", spent)
-    return out.withColumn("stopped", F.col("spent") - F.col(amount).cast(kind) > F.lit(cap).cast(kind))
+    """df with spent (running sum in order, which must be total) and stopped (the cap was passed before this row).
+
+    A key with very many rows is several tasks, not one.
+    """
+    charge = F.col(amount).cast(kind)
+    out = running_sum(ranged(df, key, order), key, order, charge, "spent").drop(PART)
+    return out.withColumn("stopped", F.col("spent") - charge > F.lit(cap).cast(kind))
 
 
 def usage_totals(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import virtual_text
+from tidemark.operators.prefix import PART, first_or_last, ranged
 
 BRANCHES = ("positive", "negative")
 
@@ -81,12 +82,11 @@ def decision_type(role: Column, state_before: Column) -> Column:
 def prefix_evidence(events: DataFrame, key: str, order: list[str], event_id: str, role: str, terminal: tuple[str, ...]) -> DataFrame:
     """events with creation_id (first creation so far) and terminal_id (latest terminal event so far).
 
-    Only the prefix up to the event itself is looked at.
+    Only the prefix up to the event itself is looked at; a key with very many events is several tasks.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    creation = F.first(F.when(F.col(role) == "creation", F.col(event_id)), ignorenulls=True).over(w)
-    last = F.last(F.when(F.col(role).isin(*terminal), F.col(event_id)), ignorenulls=True).over(w)
-    return events.withColumn("creation_id", creation).withColumn("terminal_id", last)
+    rows = ranged(events, key, order)
+    rows = first_or_last(rows, key, order, F.when(F.col(role) == "creation", F.col(event_id)), "creation_id", last=False)
+    return first_or_last(rows, key, order, F.when(F.col(role).isin(*terminal), F.col(event_id)), "terminal_id", last=True).drop(PART)
 
 
 def flips(decisions: DataFrame, pair: str, branch: str, acts: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.operators import evidence as E
 from tidemark.operators import ledger as L
 from tidemark.operators import statistics as S
 from tidemark.operators import validate as V
+from tidemark.operators.prefix import first_or_last, ranged, running_max
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -90,16 +91,27 @@ def negations(spark, d):
 
 @query("normal_forms")
 def normal_forms(spark, d):
-    """PRJ6-11: every caption in the normal forms that SQL lacks."""
-    a = _texts(spark, d).select("atom_id", "dense_caption").where("dense_caption is not null")
-    return a.select("atom_id", X.nfkc_casefold("dense_caption").alias("folded"), X.nfkc_tidy("dense_caption").alias("tidy"), X.evidence_normal("dense_caption").alias("evidence"), X.eligibility_form("dense_caption").alias("eligible"), X.collapse("dense_caption").alias("collapsed"), X.has_letter_or_digit("dense_caption").alias("has_content"))
+    """PRJ6-11: every caption and transcript in the normal forms that SQL lacks."""
+    a = _texts(spark, d).select("atom_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("dense_caption", "transcript")))).alias("x")).select("atom_id", "x.field", "x.text").where("text is not null")
+    return a.select("atom_id", "field", X.nfkc_casefold("text").alias("folded"), X.nfkc_tidy("text").alias("tidy"), X.evidence_normal("text").alias("evidence"), X.eligibility_form("text").alias("eligible"), X.collapse("text").alias("collapsed"), X.has_letter_or_digit("text").alias("has_content"))
+
+
+@query(
+    "collapsed_forms",
+    "SELECT DISTINCT atom_id, trim(regexp_replace(transcript, '\\s+', ' ', 'g')) AS collapsed, regexp_matches(transcript, '[\\p{L}\\p{N}]') AS has_content FROM source_video_atom WHERE transcript IS NOT NULL AND regexp_full_match(transcript, '[ -~\\n\\t]*')",
+)
+def collapsed_forms(spark, d):
+    """PRJ6: white space of the plain ASCII transcripts collapsed, the part of the normal forms that SQL has."""
+    a = table(spark, d, "source_video_atom").select("atom_id", "transcript").distinct().where(F.col("transcript").rlike(r"^[ -~\n\t]*$"))
+    return a.select("atom_id", X.collapse("transcript").alias("collapsed"), X.has_letter_or_digit("transcript").alias("has_content"))
 
 
 @query("evidence_spans")
 def evidence_spans(spark, d):
-    """PRJ10: where a span stands in its caption after normalising, as the caption writes it."""
-    cl = E.exploded(table(spark, d, "cue_v2")).where("field = 'dense_caption'").join(_texts(spark, d).select("atom_id", "dense_caption"), "atom_id")
-    return cl.select("cue_id", "clause_index", X.evidence_span("dense_caption", "span").alias("slice"))
+    """PRJ10: where a span stands in the text that it names, after normalising, as the text writes it."""
+    cl = E.exploded(table(spark, d, "cue_v2")).where("field in ('dense_caption', 'transcript')").join(_texts(spark, d).select("atom_id", "dense_caption", "transcript"), "atom_id")
+    own = F.when(F.col("field") == "transcript", F.col("transcript")).otherwise(F.col("dense_caption"))
+    return cl.select("cue_id", "clause_index", X.evidence_span(own, "span").alias("slice"))
 
 
 @query(
@@ -387,10 +399,10 @@ def span_measures(spark, d):
 @query("running_extremes", """SELECT event_id, max(value) OVER w AS max_before, last_value(value IGNORE NULLS) OVER w AS last_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def running_extremes(spark, d):
     """WN3, WN6: the largest and the latest value before each event."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", F.max("value").over(w).alias("max_before"), F.last("value", ignorenulls=True).over(w).alias("last_before"))
+    order = ["ts", "event_id"]
+    rows = ranged(table(spark, d, "events").select("user_id", "event_id", "ts", "value"), "user_id", order)
+    rows = running_max(rows, "user_id", order, F.col("value"), "max_before", inclusive=False)
+    return first_or_last(rows, "user_id", order, F.col("value"), "last_before", last=True, inclusive=False).select("event_id", "max_before", "last_before")
 
 
 @query("rule_bank", "SELECT reason, count(DISTINCT cue_id) AS n_cues FROM (SELECT cue_id, unnest(reason_codes) AS reason FROM cue_v2) GROUP BY 1")

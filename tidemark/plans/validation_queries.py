@@ -16,6 +16,7 @@ from tidemark.operators import evidence as E
 from tidemark.operators import scenarios as S
 from tidemark.operators import validate as V
 from tidemark.operators.automaton import REMINDER, run
+from tidemark.operators.prefix import ranged, running_max
 from tidemark.plans.event_queries import _SEEDS, _seeds
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -411,5 +412,6 @@ def audited_labels(spark, d):
 )
 def order_rejects(spark, d):
     """SS2: in the order of arrival, events older than one of their key that came before are rejected, without tolerance."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", "user_id", F.coalesce(F.col("ts") < F.max("ts").over(w), F.lit(False)).alias("rejected"))
+    rows = ranged(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", ["event_id"])
+    seen = running_max(rows, "user_id", ["event_id"], F.col("ts"), "latest", inclusive=False)
+    return seen.select("event_id", "user_id", F.coalesce(F.col("ts") < F.col("latest"), F.lit(False)).alias("rejected"))
