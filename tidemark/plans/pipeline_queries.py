@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.allocate import floor_quotas, hash_order, largest_remainder, numbered, ranked_by_hash
+from tidemark.operators.automaton import REMINDER
 from tidemark.plans.allocation_queries import greedy_packages_atoms
 from tidemark.plans.registry import query
 from tidemark.plans.staging import shared_dir, stage
@@ -270,3 +271,139 @@ def dataset_card(spark, d):
     a = table(spark, d, "source_video_atom").select("atom_id", "participant_source_id", "session_id", (F.col("local_end_sec") - F.col("local_start_sec")).alias("sec")).dropDuplicates(["atom_id"])
     one = a.agg(F.count("*").alias("w"), F.countDistinct("session_id").alias("s"), F.countDistinct("participant_source_id").alias("p"), (F.sum("sec") / 3600).alias("h"))
     return one.select(F.format_string("# Dataset\n- windows: %d\n- sessions: %d\n- participants: %d\n- hours: %.2f", "w", "s", "p", "h").alias("card"))
+
+
+@query(
+    "disposition_rules",
+    """WITH c AS (SELECT DISTINCT cue_id, atom_id, item_index, disposition, predicate IS NOT NULL AND len(predicate.all_of) > 0 AS has_clauses, len(reason_codes) AS n_reasons, list_has_any(list_transform(reason_codes, lambda x: NOT regexp_full_match(x, '[a-z_]+')), [true]) AS odd FROM cue_v2),
+       u AS (SELECT atom_id, item_index, count(*) AS n FROM c GROUP BY 1, 2)
+       SELECT cue_id, CASE WHEN disposition NOT IN ('accepted_cue', 'ambiguous', 'no_cue', 'unsupported') THEN 'domain' WHEN u.n > 1 THEN 'item_repeated' WHEN disposition = 'accepted_cue' AND NOT coalesce(has_clauses, false) THEN 'accepted_without_clauses'
+         WHEN disposition = 'accepted_cue' AND n_reasons > 0 THEN 'accepted_with_reasons' WHEN disposition <> 'accepted_cue' AND has_clauses THEN 'refused_with_clauses' WHEN disposition <> 'accepted_cue' AND NOT coalesce(n_reasons BETWEEN 1 AND 3, false) THEN 'reasons' WHEN coalesce(odd, false) THEN 'reason_pattern' ELSE 'ok' END AS code
+       FROM c JOIN u USING (atom_id, item_index)""",
+)
+def disposition_rules(spark, d):
+    """VL20: the rule of its disposition that each cue breaks: clauses, reasons and their pattern, one row for an item."""
+    c = table(spark, d, "cue_v2").select("cue_id", "atom_id", "item_index", "disposition", "predicate", "reason_codes").dropDuplicates(["cue_id"])
+    clauses = F.coalesce(F.size("predicate.all_of") > 0, F.lit(False)) & F.col("predicate").isNotNull()
+    repeated = c.groupBy("atom_id", "item_index").agg(F.count("*").alias("n")).where("n > 1").select("atom_id", "item_index", F.lit(True).alias("again"))
+    j = c.join(repeated, ["atom_id", "item_index"], "left")
+    accepted, n = F.col("disposition") == "accepted_cue", F.size("reason_codes")
+    code = (
+        F.when(~F.col("disposition").isin("accepted_cue", "ambiguous", "no_cue", "unsupported"), "domain")
+        .when(F.col("again"), "item_repeated")
+        .when(accepted & ~clauses, "accepted_without_clauses")
+        .when(accepted & (n > 0), "accepted_with_reasons")
+        .when(~accepted & clauses, "refused_with_clauses")
+        .when(~accepted & ~F.coalesce(n.between(1, 3), F.lit(False)), "reasons")
+        .when(F.exists("reason_codes", lambda x: ~x.rlike("^[a-z_]+$")), "reason_pattern")
+    )
+    return j.select("cue_id", F.coalesce(code, F.lit("ok")).alias("code"))
+
+
+@query(
+    "terminal_order",
+    """WITH e AS (SELECT user_id, event_id, event_type, event_type IN ('purchase', 'error') AS terminal FROM events), w AS (SELECT *, coalesce(bool_or(terminal) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS closed FROM e)
+       SELECT user_id, count(*) FILTER (terminal) AS n_terminal, count(*) FILTER (terminal AND closed) AS n_terminal_again, count(*) FILTER (NOT terminal AND closed) AS n_after, count(DISTINCT event_type) FILTER (terminal) > 1 AS mixed FROM w GROUP BY 1""",
+)
+def terminal_order(spark, d):
+    """LG2, VL17, VL23: how often an id ends, ends again, goes on after its end, or ends in two ways; only the first end is looked for."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.col("event_type").isin("purchase", "error").alias("terminal"))
+    end = e.where("terminal").groupBy("user_id").agg(F.min("event_id").alias("first_end"))
+    j = e.join(end, "user_id", "left").withColumn("closed", F.coalesce(F.col("event_id") > F.col("first_end"), F.lit(False)))
+    return j.groupBy("user_id").agg(
+        F.count_if("terminal").alias("n_terminal"), F.count_if(F.col("terminal") & F.col("closed")).alias("n_terminal_again"), F.count_if(~F.col("terminal") & F.col("closed")).alias("n_after"),
+        (F.countDistinct(F.when(F.col("terminal"), F.col("event_type"))) > 1).alias("mixed"),
+    )
+
+
+_TASKS = f"""{_SHARDED}, m AS (SELECT shard // 2 AS task, min(shard) AS shard_start, max(shard) + CASE WHEN shard // 2 = 1 THEN 1 ELSE 0 END AS shard_end, count(*) AS n_items FROM s GROUP BY 1)"""
+
+
+@query(
+    "task_ranges",
+    f"""WITH {_TASKS} SELECT task, shard_start, shard_end, n_items, CASE WHEN shard_end < shard_start THEN 'empty' WHEN shard_end - shard_start >= 10 THEN 'too_wide' WHEN lead(shard_start) OVER (ORDER BY task) <= shard_end THEN 'overlap'
+        WHEN lead(shard_start) OVER (ORDER BY task) > shard_end + 1 THEN 'gap' ELSE 'ok' END AS code FROM m""",
+)
+def task_ranges(spark, d):
+    """VL15, LG12: tasks of two shards must follow each other without gap and overlap; one range is planted too long."""
+    m = _sharded(spark, d).groupBy(F.floor(F.col("shard") / 2).cast("int").alias("task")).agg(F.min("shard").alias("shard_start"), F.max("shard").alias("hi"), F.count("*").alias("n_items"))
+    m = m.withColumn("shard_end", F.col("hi") + F.when(F.col("task") == 1, 1).otherwise(0)).drop("hi")
+    # The next task by an equi-join on its number, not by a window over all tasks.
+    after = m.select((F.col("task") - 1).alias("task"), F.col("shard_start").alias("next_start"))
+    code = F.when(F.col("shard_end") < F.col("shard_start"), "empty").when(F.col("shard_end") - F.col("shard_start") >= 10, "too_wide").when(F.col("next_start") <= F.col("shard_end"), "overlap").when(F.col("next_start") > F.col("shard_end") + 1, "gap").otherwise("ok")
+    return m.join(after, "task", "left").select("task", "shard_start", "shard_end", "n_items", code.alias("code"))
+
+
+@query(
+    "wave_closure",
+    f"""WITH {_SHARDED}, c AS (SELECT DISTINCT atom_id FROM cue_v2), t AS (SELECT shard, count(*) AS total, count(c.atom_id) AS done FROM s LEFT JOIN c USING (atom_id) GROUP BY 1)
+        SELECT shard // 3 AS wave, count(*) AS n_shards, count(*) FILTER (done = total) AS n_complete, count(*) FILTER (done = 0) AS n_untouched, CAST(sum(total - done) AS BIGINT) AS n_open, bool_and(done = total) AS closed, min(shard) FILTER (done < total) AS resume_at FROM t GROUP BY 1""",
+)
+def wave_closure(spark, d):
+    """SS7, LG10-11, VL19: waves of three shards: complete and untouched shards, what is open, where to go on, whether the wave is closed."""
+    done = table(spark, d, "cue_v2").select("atom_id", F.lit(True).alias("there")).distinct()
+    p = _sharded(spark, d).join(done, "atom_id", "left").groupBy("shard").agg(F.count("*").alias("total"), F.count("there").alias("done"))
+    complete = F.col("done") == F.col("total")
+    return p.groupBy(F.floor(F.col("shard") / 3).cast("int").alias("wave")).agg(
+        F.count("*").alias("n_shards"), F.count_if(complete).alias("n_complete"), F.count_if(F.col("done") == 0).alias("n_untouched"), F.sum(F.col("total") - F.col("done")).alias("n_open"), F.bool_and(complete).alias("closed"), F.min(F.when(~complete, F.col("shard"))).alias("resume_at")
+    )
+
+
+@query(
+    "manifest_refs",
+    """WITH l AS (SELECT l_orderkey AS k, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS amount FROM lineitem GROUP BY 1), m AS (SELECT o_orderkey AS k, CAST(o_orderkey % 5 + 1 AS BIGINT) AS authorised FROM orders WHERE o_orderkey % 97 <> 0)
+       SELECT coalesce(l.k, m.k) AS k, CASE WHEN m.k IS NULL THEN 'not_in_manifest' WHEN l.k IS NULL THEN 'no_event' WHEN n > authorised THEN 'more_events' WHEN amount > 50 * authorised THEN 'over_cap' ELSE 'ok' END AS code FROM l FULL JOIN m USING (k)""",
+)
+def manifest_refs(spark, d):
+    """VL22: events name only what the manifest has, not more often than it allows, and stay below its cap."""
+    ledger = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("amount"))
+    manifest = table(spark, d, "orders").where("o_orderkey % 97 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 5 + 1).alias("authorised"))
+    code = F.when(F.col("authorised").isNull(), "not_in_manifest").when(F.col("n").isNull(), "no_event").when(F.col("n") > F.col("authorised"), "more_events").when(F.col("amount") > 50 * F.col("authorised"), "over_cap").otherwise("ok")
+    return ledger.join(manifest, "k", "full_outer").select("k", code.alias("code"))
+
+
+@query(
+    "receipts",
+    """WITH p AS (SELECT session_id, count(DISTINCT segment_id) AS received, count(DISTINCT segment_id) FILTER (parse_status = 'ok') AS validated, count(DISTINCT segment_id) FILTER (parse_status = 'error') AS failed, count(DISTINCT segment_id) FILTER (parse_status LIKE 'discarded%') AS set_aside,
+         bool_and((start_sec IS NULL) = (end_sec IS NULL)) AS both_or_none FROM segments GROUP BY 1)
+       SELECT session_id, received, validated, failed, set_aside, received = validated + failed + set_aside AND both_or_none AS balanced FROM p""",
+)
+def receipts(spark, d):
+    """VL16: what each session received is what was validated, failed or set aside, and two fields are there together or not at all."""
+    s = table(spark, d, "segments").select("session_id", "segment_id", "parse_status", "start_sec", "end_sec").dropDuplicates(["segment_id"])
+    status = F.col("parse_status")
+    p = s.groupBy("session_id").agg(
+        F.count("*").alias("received"), F.count_if(status == "ok").alias("validated"), F.count_if(status == "error").alias("failed"), F.count_if(status.startswith("discarded")).alias("set_aside"), F.bool_and(F.col("start_sec").isNull() == F.col("end_sec").isNull()).alias("both")
+    )
+    return p.withColumn("balanced", (F.col("received") == F.col("validated") + F.col("failed") + F.col("set_aside")) & F.col("both")).drop("both")
+
+
+_STATES = ("never_created", "active_unreminded", "active_reminded", "completed", "cancelled", "expired", "illegal")
+_ROLES = ("creation", "trigger", "completed", "cancelled", "expired", "lure", "background")
+
+
+@query(
+    "policy_table",
+    f"""SELECT s AS state, r AS role, CASE WHEN s = 'illegal' THEN s WHEN r = 'creation' THEN CASE WHEN s = 'never_created' THEN 'active_unreminded' ELSE 'illegal' END WHEN r IN ('completed', 'cancelled', 'expired') THEN CASE WHEN s = 'active_unreminded' THEN r ELSE 'illegal' END
+        WHEN r = 'trigger' AND s = 'active_unreminded' THEN 'active_reminded' ELSE s END AS next_state FROM (SELECT unnest({list(_STATES)!r}) AS s), (SELECT unnest({list(_ROLES)!r}) AS r)""",
+)
+def policy_table(spark, d):
+    """DM6, DM9: the machine as a table, every state under every role."""
+    rows = [(s, r, REMINDER.states[REMINDER.table(r)[REMINDER.states.index(s)]]) for s in _STATES for r in _ROLES]
+    return spark.createDataFrame(rows, "state string, role string, next_state string")
+
+
+@query(
+    "rule_ids",
+    """WITH r AS (SELECT DISTINCT cue_id, disposition, predicate FROM cue_v2 WHERE disposition = 'accepted_cue' AND predicate IS NOT NULL), x AS (SELECT cue_id, unnest(range(len(predicate.all_of)))::INTEGER AS i, unnest(predicate.all_of) AS c FROM r),
+       y AS (SELECT 'rule_' || substr(sha256(concat_ws('|', cue_id, i, coalesce(c.dimension, ''), coalesce(c.operator, ''), coalesce(c.value, ''))), 1, 16) AS rule_id, cue_id, c.dimension AS dimension, c.operator AS operator FROM x)
+       SELECT rule_id, cue_id, dimension, operator, count(*) OVER (PARTITION BY rule_id) = 1 AS is_unique FROM y""",
+)
+def rule_ids(spark, d):
+    """DM6: accepted clauses as rules with ids that must be unique over all cues."""
+    one = table(spark, d, "cue_v2").where("disposition = 'accepted_cue' and predicate is not null").select("cue_id", "predicate").dropDuplicates(["cue_id"])
+    x = one.select("cue_id", F.posexplode("predicate.all_of").alias("i", "c"))
+    named = F.concat_ws("|", "cue_id", F.col("i").cast("string"), *(F.coalesce(F.col(f"c.{k}"), F.lit("")) for k in ("dimension", "operator", "value")))
+    y = stage(x.select(F.concat(F.lit("rule_"), F.substring(F.sha2(named, 256), 1, 16)).alias("rule_id"), "cue_id", F.col("c.dimension").alias("dimension"), F.col("c.operator").alias("operator")), "rules")
+    many = y.groupBy("rule_id").agg((F.count("*") == 1).alias("is_unique"))
+    return y.join(many, "rule_id")
