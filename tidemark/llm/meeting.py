@@ -261,7 +261,7 @@ def near_pairs(texts: DataFrame, keys: Keys, keys_per_text: float, words: int =
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id1", "id2"])
 
     parts = min(buckets, PARTS)
-    sent = packed(texts, keys, buckets, words).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sent = packed(texts, keys, buckets, words).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     met = stage(sent.mapInArrow(run, _MET), name + "-runs")
     pairs = met.where("id1 is not null").select("id1", "id2")
     if n_cells := met.where("id1 is null").count():

@@ -119,13 +119,19 @@ def grams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
-def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the three-character sets; two texts without any count as equal."""
-    x, y = grams(a), grams(b)
+def set_similarity(x: set[str], y: set[str], least: float = 0.0) -> float:
+    """Jaccard similarity of two sets; two empty ones count as equal.  0 where the sizes alone keep it below `least`."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return 0.0
     both = len(x & y)
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
+def similarity(a: str, b: str) -> float:
+    """Jaccard similarity of the three-character sets."""
+    return set_similarity(grams(a), grams(b))
+
+
 def normal_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep, h (id), text (normal form) for rows of df whose text is long enough.
 
@@ -167,7 +173,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            s = np.fromiter((similarity(a, b) for a, b in zip(x.column(n + 2).to_pylist(), x.column(n + 3).to_pylist())), float, x.num_rows)
+            known: dict[str, set[str]] = {}  # a text is in several pairs
+            sets = [[known[t] if t in known else known.setdefault(t, grams(t)) for t in x.column(n + i).to_pylist()] for i in (2, 3)]
+            s = np.fromiter((set_similarity(a, b, threshold) for a, b in zip(*sets)), float, x.num_rows)
             ok = pa.array(np.flatnonzero(s >= threshold))
             yield pa.RecordBatch.from_arrays([*(x.column(i).take(ok) for i in range(n + 2)), pa.array(s[s >= threshold])], names=[*keep, "h1", "h2", "similarity"])
 
