@@ -90,7 +90,7 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("t", ["0.5", "0.92"])
-def test_set_similarity_equals_brute_force(spark, t):
+def test_set_similarity_equals_brute_force(spark, monkeypatch, t):
     rng = random.Random(5)
     base = [[f"t{rng.randrange(30)}" for _ in range(12)] for _ in range(8)]
     data = [(f"k{i}", rng.choice("pq"), rng.choice("xyz"), [w for w in rng.choice(base) if rng.random() > 0.1]) for i in range(60)] + [("e", "p", "x", []), ("n", "p", "y", None)]
@@ -103,6 +103,12 @@ def test_set_similarity_equals_brute_force(spark, t):
             if x and y and a[1] == b[1] and a[2] != b[2] and len(x & y) >= float(t) * len(x | y) - 1e-12:
                 want.add(tuple(sorted((a[0], b[0]))))
     assert got == want
+    # Tokens as numbers: ordered in place, or by a join where too many are different.
+    numbered = df.withColumn("tokens", F.transform("tokens", lambda x: F.xxhash64(x)))
+    for known in (setsim.KNOWN, 0):
+        monkeypatch.setattr(setsim, "KNOWN", known)
+        assert {(r.key_1, r.key_2) for r in setsim.set_similarity_pairs(numbered, "key", "tokens", t, ["block"], "session").collect()} == want
+    assert setsim.set_similarity_pairs(numbered.where("false"), "key", "tokens", t).count() == 0
 
 
 def test_largest_remainder(spark):

@@ -7,13 +7,58 @@ places of the shared ones bound how many they can share in all.  No pair is appr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.staging import stage
 
+#: Different tokens whose order travels to every task, sixteen bytes each; more are ordered by a join and a window.
+KNOWN = 1_000_000
+
+
+def _heads_by_join(sized: DataFrame, frequency: DataFrame, prefix: Fraction) -> DataFrame:
+    """i, token, at: the first tokens of each set in the global order, by a join with the frequencies and a window."""
+    num, den = prefix.numerator, prefix.denominator
+    each = sized.select("i", "n", F.explode("set").alias("token"))
+    order = F.row_number().over(Window.partitionBy("i").orderBy("df", "token"))
+    # ceil(num * n / den) without floating point.
+    length = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
+    return each.join(frequency, "token").withColumn("at", order).where(F.col("at") <= length).select("i", "token", "at")
+
+
+def _heads_by_rank(sized: DataFrame, frequency: DataFrame, prefix: Fraction) -> DataFrame:
+    """The same where the tokens are numbers and few are different: each set is ordered where it lies, nothing is shuffled."""
+    known = frequency.toArrow()
+    token, df = known.column("token").to_numpy(), known.column("df").to_numpy()
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, df))] = np.arange(len(token))
+    by_token = np.argsort(token)
+    shared = sized.sparkSession.sparkContext.broadcast((token[by_token], rank[by_token], token[np.argsort(rank)]))
+    num, den = prefix.numerator, prefix.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ranks, by_rank = shared.value
+        for whole in batches:
+            for b in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(b, 2_000)
+                sets = batch.column(1)
+                size = np.diff(sets.offsets.to_numpy())
+                of = np.repeat(np.arange(len(size)), size)
+                place = ranks[np.searchsorted(tokens, sets.flatten().to_numpy(zero_copy_only=False))]
+                place = np.sort(of * len(tokens) + place)  # by row, then by rank
+                begin = np.cumsum(size) - size
+                at = np.arange(len(of)) - begin[of] + 1
+                kept = at <= (size - (num * size + den - 1) // den + 1)[of]
+                ids = batch.column(0).to_numpy()[of[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(by_rank[place[kept] - of[kept] * len(tokens)]), pa.array(at[kept].astype(np.int32))], names=["i", "token", "at"])
+
+    return sized.select("i", "set").mapInArrow(run, "i bigint, token bigint, at int")
+
 
 def set_similarity_pairs(rows: DataFrame, key: str, tokens: str, threshold: str = "0.92", block: list[str] | None = None, differ: str | None = None) -> DataFrame:
     """key_1 < key_2, n_both, n_union: pairs of rows with equal block columns and different `differ`.
@@ -28,12 +73,9 @@ def set_similarity_pairs(rows: DataFrame, key: str, tokens: str, threshold: str
     # Read several times below: written once, so that the sets are not made again each time, and with a
     # number that stands for the key, so that the many tokens carry eight bytes each.
     sized = stage(some.withColumn("n", F.size("set")).withColumn("i", F.monotonically_increasing_id()), "sets")
-    each = sized.select("i", "n", F.explode("set").alias("token"))
-    frequency = each.groupBy("token").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("i").orderBy("df", "token"))
-    # ceil(num * n / den) without floating point.
-    prefix = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
-    heads = each.join(frequency, "token").withColumn("at", order).where(F.col("at") <= prefix).select("i", "token", "at")
+    frequency = stage(sized.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "frequency")
+    few = frequency.schema["token"].dataType.simpleString() == "bigint" and frequency.count() <= KNOWN
+    heads = (_heads_by_rank if few else _heads_by_join)(sized, frequency, t)
     info = sized.select("i", "k", "n", *block, *(["_differ"] if differ else []))
     heads = stage(heads.join(info, "i"), "heads")
     a, b = heads.alias("a"), heads.alias("b")
