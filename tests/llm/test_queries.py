@@ -21,7 +21,6 @@ HOLDS = {
     "p2_turns": "turn_no >= 1 and n_words >= 1 and start_sec <= end_sec",
     "p2_speech": "turn_no >= 1 and length(text) > 0",
     "p2_marks": "mark_no >= 1 and stated_sec >= 0 and repaired_sec is not null",
-    "p3_matches": "segment_id is not null",
     "p4_found": "atom_id_1 < atom_id_2 and eval_split in ('dev', 'test')",
     "p4_report": "n_records >= 1 and n_overlaps >= n_records",
     "p4_coverage": "covered between 20 and n_chars and share <= 1",
@@ -30,7 +29,6 @@ HOLDS = {
     "p7_consistent": "kind in ('span', 'value', 'dense_caption')",
     "p7_groups": "n_forms >= 1 and n_texts >= n_forms",
     "p8_ids": "not exists(ids, x -> x < 0)",
-    "p8_decoded": "text is not null",
     "p9_containers": "n_tokens between 1 and 2048 and offset = piece * 2048",
     "p9_report": "unused between 0 and 2 * 2048",
     "p10_found": "subject is not null",

@@ -201,3 +201,4 @@ p AS (SELECT s.segment_id, a.atom_id, row_number() OVER (PARTITION BY s.segment_
       FROM s JOIN a ON s.session_id = a.session_id AND abs(a.t - s.t) <= 4000)
 SELECT segment_id, atom_id FROM p WHERE n = 1
 """
+MATCHES_SQL = SQL.replace("SELECT segment_id, atom_id FROM p WHERE n = 1", "SELECT g.segment_id, p.atom_id FROM (SELECT DISTINCT segment_id FROM segments WHERE modality = 'transcript' AND parse_status = 'ok') g LEFT JOIN p ON p.segment_id = g.segment_id AND p.n = 1")

@@ -137,3 +137,7 @@ def decode(encoded: DataFrame, folder: str = tokenizer.FOLDER, name: str = token
     joined = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("p")))).alias("all"))
     text = joined.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("all", lambda x: x["p"]), "")), "UTF-8").alias("text"))
     return encoded.select("doc_id").join(text, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: The exact round trip: what is decoded is what was encoded; null gives the empty text.
+DECODED_SQL = "SELECT doc_id, coalesce(text, '') AS text FROM documents"

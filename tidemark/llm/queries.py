@@ -55,4 +55,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins; operators that SQL cannot express are tested in tests/llm instead."""
-    return {"p3_found": p3.SQL, "p5_found": p5.FOUND_SQL, "p5_check": p5.CHECK_SQL, "p9_check": p9.CHECK_SQL}
+    return {"p3_found": p3.SQL, "p3_matches": p3.MATCHES_SQL, "p8_decoded": p8.DECODED_SQL, "p5_found": p5.FOUND_SQL, "p5_check": p5.CHECK_SQL, "p9_check": p9.CHECK_SQL}
