@@ -97,7 +97,11 @@ def alternate(rows: DataFrame, order: list[str], ways: int = 2, name: str = "way
     return numbered(rows, order, "_position").withColumn(name, F.pmod("_position", F.lit(ways)).cast("int")).drop("_position")
 
 
-def shard_numbers(position: Column, shard_rows: int = 500, shards_per_task: int = 10, waves: tuple[int, ...] = (1, 10, 10, 10, 10, 10, 10, 14)) -> tuple[Column, Column, Column]:
+#: FIXED VALUES: rows of a shard, shards of a task, tasks of each wave.
+SHARD_ROWS, SHARDS_PER_TASK, WAVES = 500, 10, (1, 10, 10, 10, 10, 10, 10, 14)
+
+
+def shard_numbers(position: Column, shard_rows: int = SHARD_ROWS, shards_per_task: int = SHARDS_PER_TASK, waves: tuple[int, ...] = WAVES) -> tuple[Column, Column, Column]:
     """(shard, task, wave) of a position; waves hold so many tasks each, later tasks are in the last."""
     shard = F.floor(position / shard_rows)
     task = F.floor(shard / shards_per_task)

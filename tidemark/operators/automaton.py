@@ -100,7 +100,7 @@ def run(events: DataFrame, machine: Machine, key: str, order: list[str], symbol:
     )
 
 
-#: A reminder's life: created once, then completed, cancelled, expired or reminded, each once.
+#: FIXED VALUES: the states and moves of a reminder's life: created once, then completed, cancelled, expired or reminded, each once.
 REMINDER = Machine(
     states=("never_created", "active_unreminded", "active_reminded", "completed", "cancelled", "expired", "illegal"),
     moves={

@@ -31,7 +31,7 @@ def unsatisfied(clauses: Column, haystack: Column) -> Column:
 def grounding_code(field: Column, span: Column, value: Column, transcript: Column, caption: Column) -> Column:
     """The first rule that a clause's evidence breaks, or null.
 
-    CROSS_FIELD_EVIDENCE: no such field, or the span stands only in the other one.
+    The codes are fixed values.  CROSS_FIELD_EVIDENCE: no such field, or the span stands only in the other one.
     SPAN_NOT_CONTIGUOUS: it stands in neither.  VALUE_NOT_SUPPORTED: the value is empty, names nothing
     or is not inside the span.
     """

@@ -23,6 +23,7 @@ class Difficulty:
     minutes: int
 
 
+#: FIXED VALUES: the three difficulties.
 DIFFICULTIES = (Difficulty("short", 12, 1, 60), Difficulty("medium", 35, 3, 480), Difficulty("long", 90, 6, 2880))
 
 

@@ -93,10 +93,11 @@ def bijection(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def leaks(df: DataFrame, key: str, text: str, markers: list[str]) -> DataFrame:
-    """Texts that hold a marker that they must not."""
-    found = F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(F.lower(F.col(text)), m))
-    bad = df.select(F.col(key).alias("_k"), F.explode(found).alias("_m"))
+def leaks(df: DataFrame, key: str, text: str, markers: list[str], patterns: dict[str, str] | None = None) -> DataFrame:
+    """Texts that hold a marker, in whatever case, or a pattern (name to regular expression) that they must not."""
+    low = F.lower(F.col(text))
+    found = [F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in markers] + [F.when(F.col(text).rlike(p), F.lit(name)) for name, p in (patterns or {}).items()]
+    bad = df.select(F.col(key).alias("_k"), F.explode(F.array_compact(F.array(*found))).alias("_m"))
     return issues(bad, "leakage", F.col("_k"), "absent", F.col("_m"))
 
 

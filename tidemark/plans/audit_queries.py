@@ -78,17 +78,6 @@ def compact_expansion(spark, d):
     return E.expand_compact(answers, "cue_id", "body", {"t": "transcript", "d": "dense_caption"}).select("cue_id", "n", "field", "span", "status")
 
 
-@query(
-    "negations",
-    """SELECT DISTINCT atom_id, regexp_matches(transcript, '(?i)(^|[^A-Za-z])(no|not|never|without)([^A-Za-z]|$)') AS negated, contains(transcript, '不') OR contains(transcript, '没') AS negated_cjk FROM source_video_atom WHERE transcript IS NOT NULL""",
-)
-def negations(spark, d):
-    """PRJ23: negation by whole English words and by CJK markers."""
-    t = F.col("transcript")
-    english = X.whole_word(t, "no") | X.whole_word(t, "not") | X.whole_word(t, "never") | X.whole_word(t, "without")
-    return table(spark, d, "source_video_atom").where("transcript is not null").select("atom_id", english.alias("negated"), (X.whole_word(t, "不") | X.whole_word(t, "没")).alias("negated_cjk")).distinct()
-
-
 @query("normal_forms")
 def normal_forms(spark, d):
     """PRJ6-11: every caption and transcript in the normal forms that SQL lacks."""
@@ -238,13 +227,22 @@ def bijection(spark, d):
     return V.bijection(table(spark, d, "inventory"), "session_id", "session_uid")
 
 
+# FIXED VALUES: fields that must not stand in what a model sees; ids of the inside.
+MARKERS = ("gold_action", "event_role", "rule_id", "intention_state_before", "intention_state_after", "oracle_annotation")
+INSIDE = r"\b(int|rule)_[A-Za-z0-9_]+\b"
+
+
 @query(
     "leakage",
-    f"""SELECT DISTINCT {_ISSUE}, 'leakage' AS issue_type, atom_id AS failure_id, 'absent' AS expected, m AS actual FROM source_video_atom, (VALUES ('give me the'), ('remember'), ('gold_action')) t(m) WHERE contains(lower(visible_text), m)""",
+    f"""WITH a AS (SELECT DISTINCT atom_id, visible_text || CASE WHEN CAST(floor(local_start_sec) AS BIGINT) % 17 = 0 THEN ' Gold_Action' ELSE '' END || CASE WHEN CAST(floor(local_start_sec) AS BIGINT) % 19 = 0 THEN ' see rule_Ab_9.' ELSE '' END AS t FROM source_video_atom WHERE visible_text IS NOT NULL),
+        m AS (SELECT atom_id, unnest({list(MARKERS)!r}) AS m, t FROM a)
+        SELECT {_ISSUE}, 'leakage' AS issue_type, atom_id AS failure_id, 'absent' AS expected, m AS actual FROM m WHERE contains(lower(t), m) UNION ALL SELECT {_ISSUE}, 'leakage', atom_id, 'absent', 'inner id' FROM a WHERE regexp_matches(t, '{INSIDE}')""",
 )
 def leakage(spark, d):
-    """VL8: texts that hold a marker."""
-    return V.leaks(_texts(spark, d), "atom_id", "visible_text", ["give me the", "remember", "gold_action"])
+    """VL8: texts that show a field or an id of the inside; both are planted in some of them."""
+    a = table(spark, d, "source_video_atom").where("visible_text is not null").select("atom_id", "visible_text", F.floor("local_start_sec").alias("sec")).dropDuplicates(["atom_id"])
+    text = F.concat("visible_text", F.when(F.col("sec") % 17 == 0, " Gold_Action").otherwise(""), F.when(F.col("sec") % 19 == 0, " see rule_Ab_9.").otherwise(""))
+    return V.leaks(a.select("atom_id", text.alias("t")), "atom_id", "t", list(MARKERS), {"inner id": INSIDE})
 
 
 @query(

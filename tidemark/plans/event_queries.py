@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import virtual_seconds, virtual_text
 from tidemark.operators import scenarios as S
 from tidemark.operators.automaton import REMINDER, run
+from tidemark.operators.prefix import ranged, running_sum
 from tidemark.plans.registry import query
 from tidemark.sources.tables import stream_table, table
 from tidemark.streaming.keyed import anchored_hits, machine_stream, run_to_end, windowed_counts
@@ -145,3 +146,22 @@ def flip_rate(spark, d):
     r = run(S.expand(_seeds(spark, d)), REMINDER, "log_id", ["position"], "role", F.floor(F.col("position") / 50))
     last = r.where("role = 'trigger'").withColumn("acts", (F.col("state_before") == "active_unreminded") & (F.col("state_after") == "active_reminded"))
     return S.flips(last, "pair_id", "branch", "acts")
+
+
+@query(
+    "decision_validation",
+    f"""WITH RECURSIVE {_FOLD}, k AS (SELECT f.event_id, f.n AS position, e.sym = 'trigger' AND f.state_before = 'active_unreminded' AS acts FROM f JOIN e USING (user_id, n)),
+        x AS (SELECT CASE WHEN event_id % 101 = 0 THEN -event_id ELSE event_id END AS event_id, event_id AS decision_id, position + CASE WHEN event_id % 103 = 0 THEN 1 ELSE 0 END AS position, CASE WHEN event_id % 107 = 0 THEN NOT acts ELSE acts END AS acts FROM k)
+        SELECT x.decision_id, CASE WHEN k.event_id IS NULL THEN 'current_event' WHEN x.position <> k.position THEN 'observation_trace' WHEN x.acts <> k.acts THEN 'oracle_action' ELSE 'ok' END AS code FROM x LEFT JOIN k ON k.event_id = x.event_id""",
+)
+def decision_validation(spark, d):
+    """VL8, DM13: decisions against the events they name: is the event there, is it the place seen, is the action what its states ask for; faults are planted."""
+    seen = _run(spark, d).select("event_id", "user_id", "ts", ((F.col("role") == "trigger") & (F.col("state_before") == "active_unreminded")).alias("acts"))
+    rows = ranged(seen, "user_id", ["ts", "event_id"])
+    k = running_sum(rows, "user_id", ["ts", "event_id"], F.lit(1), "position").select("event_id", "position", "acts")
+    i = F.col("event_id")
+    x = k.select(
+        F.when(i % 101 == 0, -i).otherwise(i).alias("event_id"), i.alias("decision_id"), (F.col("position") + F.when(i % 103 == 0, 1).otherwise(0)).alias("seen_position"), F.when(i % 107 == 0, ~F.col("acts")).otherwise(F.col("acts")).alias("seen_acts")
+    )
+    code = F.when(F.col("acts").isNull(), "current_event").when(F.col("seen_position") != F.col("position"), "observation_trace").when(F.col("seen_acts") != F.col("acts"), "oracle_action").otherwise("ok")
+    return x.join(k, "event_id", "left").select("decision_id", code.alias("code"))

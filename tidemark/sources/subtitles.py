@@ -91,7 +91,7 @@ def blocks(files: DataFrame, keep: list[str], content: str = "content") -> DataF
 def parse(files: DataFrame, keep: list[str], file_key: str = "relative_path", content: str = "content") -> DataFrame:
     """keep, srt_block_index, parse_status, error, start_sec, end_sec, raw_text, text: a row for each block.
 
-    Status: ok, error (missing_or_invalid_timecode, non_positive_duration), discarded_empty,
+    The words of status and error are fixed values.  Status: ok, error (missing_or_invalid_timecode, non_positive_duration), discarded_empty,
     discarded_duplicate_adjacent (same text as the last kept or empty block of the file).  A file
     without any block gives one error row, no_srt_blocks, with the index 0.
     """
@@ -129,7 +129,7 @@ def parse(files: DataFrame, keep: list[str], file_key: str = "relative_path", co
 
 
 def segment_id(modality: Column, participant: Column, day: Column, uid: Column, path: Column, index: Column) -> Column:
-    """tr_ or dc_, the session, ten digits of the path's SHA-256 and the block index in six places."""
+    """FIXED VALUES, the form of an id: tr_ or dc_, the session, ten digits of the path's SHA-256 and the block index in six places."""
     short = F.when(modality == "transcript", "tr").otherwise("dc")
     return F.concat_ws("_", short, participant, day, uid, F.substring(F.sha2(path, 256), 1, 10), F.lpad(index.cast("string"), 6, "0"))
 
