@@ -4,12 +4,13 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import meeting
 from tidemark.llm import p1_near_duplicates as p1
 from tidemark.llm import p4_split_overlap as p4
-from tidemark.llm.textsim import MAX_BITS, MIN_CHARS, bit_sketch, grams, normal, similarity, text_id
+from tidemark.llm.textsim import MAX_BITS, MIN_CHARS, bit_sketch, grams, normal, similarity, slices, text_id
 
 _rng = random.Random(0)
 WORDS = ["".join(_rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(_rng.randrange(3, 10))) for _ in range(3000)]
@@ -254,3 +255,10 @@ def test_a_phrase_in_all_rows_ends_in_seconds(spark):
     began = time.time()
     assert {tuple(r) for r in p4.found(df).collect()} == {("a00001", "b", "dev")}
     assert time.time() - began < 60
+
+
+def test_slices_are_bounded():
+    texts = pa.array(["x" * n for n in (5, 5, 5, 100, 1, 1, 1, 1)] + [None, "é" * 9])
+    got = list(slices(texts, 3, 12))
+    assert [a for a, _ in got] == [0] + [b for _, b in got[:-1]] and got[-1][1] == len(texts)
+    assert got == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 10)] and list(slices(texts[:0], 3)) == []

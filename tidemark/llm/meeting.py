@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textsim import MAX_BITS, bit_sketch, mix
+from tidemark.llm.textsim import MAX_BITS, bit_sketch, slices
 from tidemark.plans.staging import release, stage
 
 #: Texts that are packed together, texts that are hashed at a time, and entries of a bucket.
@@ -90,14 +90,14 @@ def unpack(blob: bytes) -> np.ndarray:
     return out
 
 
-def _entries(texts: list[str], ids: np.ndarray, tags: np.ndarray, keys: Keys, words: int) -> np.ndarray:
+def _entries(texts: pa.Array, ids: np.ndarray, tags: np.ndarray, keys: Keys, words: int) -> np.ndarray:
     out = []
-    for i in range(0, len(texts), AT_ONCE):
-        some = texts[i : i + AT_ONCE]
+    for i, j in slices(texts, AT_ONCE):
+        some = texts[i:j].to_pylist()
         which, key = keys(some)
         part = np.empty(len(which), entry(words))
         part["key"] = key >> np.uint64(64 - KEY_BITS)
-        part["id"], part["tag"] = ids[i : i + AT_ONCE][which], tags[i : i + AT_ONCE][which]
+        part["id"], part["tag"] = ids[i:j][which], tags[i:j][which]
         part["bits"] = bit_sketch(some, words)[which]
         out.append(part)
     return np.concatenate(out) if out else np.empty(0, entry(words))
@@ -129,7 +129,7 @@ def packed(texts: DataFrame, keys: Keys, buckets: int, words: int = 2) -> DataFr
                     held, n = [], 0
                 if not held:
                     first = int(ids[a])
-                held.append(_entries(batch.column(2).slice(a, b - a).to_pylist(), ids[a:b], tags[a:b], keys, words))
+                held.append(_entries(batch.column(2).slice(a, b - a), ids[a:b], tags[a:b], keys, words))
                 n += b - a
         if held:
             yield from send(held)

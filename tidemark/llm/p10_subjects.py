@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.confusables import skeleton
+from tidemark.llm.textsim import slices
 from tidemark.plans.staging import spread, stage
 
 SHARE, MIN_SENTENCES = 0.3, 3
@@ -296,8 +297,8 @@ def shares(documents: DataFrame, labels: DataFrame, reference: DataFrame, roster
         model, shown = shared.value
         get = model.numbers()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i, j in slices(batch.column(1), 1000):
+                part = batch.slice(i, j - i)
                 ids, texts, *where = (c.to_pylist() for c in part.columns)
                 lists, context, begins, kept = [], [], [], []
                 for d, (text, *place) in enumerate(zip(texts, *where)):

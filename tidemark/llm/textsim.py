@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.staging import spread
 
 MIN_CHARS = 60
+#: Characters that are worked on at a time, so that long texts do not fill the memory of a task.
+CHARS = 4_000_000
 #: Bits that may differ, by the words of 64 bits of a sketch.  At similarity 0.70 each bit differs with
 #: probability 0.15: of 128 bits 19.2 are expected with a deviation of 4.0, of 256 bits 38.4 with 5.7.
 MAX_BITS = {2: 35, 4: 61}
@@ -37,6 +40,19 @@ def text_id(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def slices(texts: pa.Array, rows: int, chars: int = CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of at most so many rows and characters; a longer text is a run of its own."""
+    length = np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    begin, held = 0, 0
+    for i, n in enumerate(length.tolist()):
+        if i > begin and (i - begin >= rows or held + n > chars):
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(length):
+        yield begin, len(length)
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts one after the other (uint64), and the start of each with the end."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
