@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import release, stage
 
 
 def largest_remainder(counts: DataFrame, keys: list[str], count: str, target: int, tie: str | None = None) -> DataFrame:
@@ -184,5 +184,6 @@ def greedy_disjoint(rows: DataFrame, key: str, order: list[str], items: str) ->
         accepted = winners if accepted is None else accepted.union(winners)
         used = open_rows.join(winners.select("_rank"), "_rank", "left_semi").select("_item").distinct()
         gone = open_rows.join(used, "_item", "left_semi").select("_rank").distinct()
-        open_rows = stage(open_rows.join(gone, "_rank", "left_anti"), "disjoint")
+        before, open_rows = open_rows, stage(open_rows.join(gone, "_rank", "left_anti"), "disjoint")
+        release(before)
     return (accepted if accepted is not None else ranked.select(key, "_rank").limit(0)).select(key)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import release, stage
 
 BLOCK = 4_096
 
@@ -145,7 +145,8 @@ def survivors(rows: DataFrame, key: str, order: list[str], pairs: DataFrame) ->
         suppressed = out if suppressed is None else suppressed.union(out)
         rest = edges.join(sure.withColumnRenamed("r", "early"), "early", "left_anti")
         rest = rest.join(out.withColumnRenamed("r", "early"), "early", "left_anti").join(out.withColumnRenamed("r", "late"), "late", "left_anti")
-        edges = stage(rest, "edges")
+        before, edges = edges, stage(rest, "edges")
+        release(before)
     if suppressed is None:
         return ranked.select(F.col("k").alias(key), F.lit(True).alias("survives"))
     gone = suppressed.select(F.col("r").alias("_rank"), F.lit(False).alias("s"))
