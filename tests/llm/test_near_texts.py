@@ -262,3 +262,20 @@ def test_slices_are_bounded():
     got = list(slices(texts, 3, 12))
     assert [a for a, _ in got] == [0] + [b for _, b in got[:-1]] and got[-1][1] == len(texts)
     assert got == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 10)] and list(slices(texts[:0], 3)) == []
+
+
+def test_few_chance_meetings_reach_the_exact_check():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    texts = [f"the light in the {word()} kitchen was some steps from the {word()} door to the {word()} and then {word()} again" for _ in range(400)]
+    words = getattr(p1, "WORDS", 2)
+    bits = bit_sketch(texts, words)
+    i, j = np.triu_indices(len(texts), 1)
+    assert max(similarity(a, b) for a, b in zip(texts, texts[1:])) < 0.45
+    assert (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= MAX_BITS[words]).mean() < 0.05  # 0.34 with sketches of 128 bits
+
+
+def test_passes_have_the_keys_of_all_families():
+    texts = make(50, 12)
+    _, whole = p1.mask_keys(texts)
+    assert (np.concatenate([keys(texts)[1] for keys, _ in p1.mask_passes()]) == whole).all()
