@@ -279,3 +279,29 @@ def test_passes_have_the_keys_of_all_families():
     texts = make(50, 12)
     _, whole = p1.mask_keys(texts)
     assert (np.concatenate([keys(texts)[1] for keys, _ in p1.mask_passes()]) == whole).all()
+
+
+def test_a_common_prefix_fills_no_task_and_hides_no_pair(spark, monkeypatch):
+    rng = random.Random(13)
+    label = "this window of the session shows in its picture: "
+    data = [(f"a{i:04d}", "P", "train" if i % 3 else "dev", label + " ".join(rng.choice(WORDS) for _ in range(9))) for i in range(2600)]
+    data += [("b", "P", "dev", data[1][3] + " end"), ("c", "P", "test", data[2][3].upper())]
+    longest = []
+
+    def packed(*x, plain=meeting.packed):
+        sent = plain(*x)
+        entries = np.concatenate([meeting.unpack(bytes(r.entries)) for r in sent.collect()])
+        longest.append(np.unique(entries["key"], return_counts=True)[1].max())
+        return sent
+
+    monkeypatch.setattr(meeting, "packed", packed)
+    df = spark.createDataFrame(data, "atom_id string, participant_source_id string, split string, visible_text string")
+    assert {tuple(r) for r in p4.found(df).collect()} == {("a0001", "b", "dev"), ("a0002", "c", "test")}
+    assert max(longest) <= 2_000
+
+
+def test_common_keys_are_those_of_many_texts(spark):
+    texts = [f"{i % 3} {i}" for i in range(90)]
+    keys = lambda some: (np.arange(len(some)), np.array([int(x[0]) for x in some], np.uint64))
+    df = spark.createDataFrame([(x,) for x in texts + ["0 more"]], "text string").coalesce(1)
+    assert meeting.common_keys(df, keys, 30).tolist() == [0] and meeting.common_keys(df, keys, 31).tolist() == []
