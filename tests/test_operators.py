@@ -369,3 +369,41 @@ def test_running_aggregates_across_partitions(spark):
             seen.append(v)
             upto = [x for x in seen if x is not None]
             assert got[k, o] == (sum(upto) if upto else None, max(before) if before else None, upto[0] if upto else None, before[-1] if before else None)
+
+
+def test_close_pairs_equal_brute_force(spark):
+    rng = random.Random(15)
+    base = [[rng.randrange(1 << 40) for _ in range(n)] for n in (1, 3, 11, 12, 13, 25, 60, 300)]
+    data = []
+    for i in range(240):
+        tokens = [x for x in rng.choice(base) if rng.random() > 0.02] + [rng.randrange(9) for _ in range(rng.choice((0, 0, 1, 4)))]
+        data.append((i, rng.choice("pq"), tokens))
+    df = staging.stage(spark.createDataFrame(data, "i bigint, block string, tokens array<bigint>"))
+    for t in ("0.92", "0.8"):
+        got = {tuple(r) for r in setsim.close_pairs(df, "i", F.col("tokens"), t, ["block"]).collect()}
+        want = set()
+        for i, p, x in data:
+            for j, q, y in data[i + 1 :]:
+                both, union = len(set(x) & set(y)), len(set(x) | set(y))
+                if p == q and x and y and both >= float(t) * union - 1e-12:
+                    want.add((i, j, both, union))
+        assert got == want and len(want) > 100
+    assert setsim.close_pairs(df.where("false"), "i", F.col("tokens"), "0.92", ["block"]).count() == 0
+
+
+def test_components_write_no_sets_and_count_copies(spark, monkeypatch, tmp_path):
+    from tidemark.plans import allocation_queries
+
+    text = "a person with a cap fills the spare label printer near the window seat of the hall "
+    rows = [(f"a{i}", "P", "D", f"s{i % 3}", f"g{i % 3}", None, text + ("again" if i % 2 else "again.")) for i in range(12)]
+    rows += [("b", "P", "D", "s9", "g9", None, "nothing like the other ones"), ("c", "P", "E", "s8", "g8", None, text)]
+    names = "atom_id string, participant_source_id string, source_day string, session_id string, source_group_id string, world_event_id string, visible_text string"
+    df = spark.createDataFrame(rows + rows[:3], names)
+    monkeypatch.setattr(allocation_queries, "table", lambda *_: df)
+    written = []
+    for where in (setsim, allocation_queries):
+        monkeypatch.setattr(where, "stage", lambda x, name="stage", plain=staging.stage: written.append(x.schema.simpleString()) or plain(x, name))
+    # Three sessions of four atoms each: 66 pairs less 18 within a session, one component of the three.
+    assert [tuple(r) for r in allocation_queries.component_links(spark, "").collect()] == [(10, 3, 7, 48)]
+    assert len(allocation_queries.near_dup_pairs(spark, "").collect()) == 48
+    assert not [x for x in written if "array" in x]

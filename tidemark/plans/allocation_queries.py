@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import char_trigrams, lower_collapse
 from tidemark.operators.allocate import allocate_by_deficit, alternate, greedy_disjoint, greedy_packages, hash_sample, largest_remainder, numbered, quota_sample, shard_numbers
 from tidemark.operators.graph import connected_components
-from tidemark.operators.setsim import set_similarity_pairs
+from tidemark.operators.setsim import close_pairs
 from tidemark.plans.registry import query
-from tidemark.plans.staging import spread, stage
+from tidemark.plans.staging import forget, spread, stage
 from tidemark.sources.tables import table
 
 _TEXT = "trim(regexp_replace(lower(visible_text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
@@ -20,15 +21,43 @@ np AS (SELECT a.atom_id AS key_1, b.atom_id AS key_2, a.session_id AS session_1,
 near AS (SELECT key_1, key_2, session_1, session_2, n_both, CAST(len(sa) + len(sb) - n_both AS INTEGER) AS n_union FROM np WHERE n_both * 100 >= (len(sa) + len(sb) - n_both) * 92)"""
 
 
+_BLOCK = ["participant_source_id", "source_day"]
+
+
 def _near(spark, d):
-    a = spread(table(spark, d, "source_video_atom")).where("visible_text is not null").select("atom_id", "participant_source_id", "source_day", "session_id", lower_collapse("visible_text").alias("x")).where("x <> ''").dropDuplicates(["atom_id"])
-    return set_similarity_pairs(a.withColumn("grams", char_trigrams("x")), "atom_id", "grams", "0.92", ["participant_source_id", "source_day"], "session_id")
+    """(members i, atom_id, session_id, x, r; pairs key_1, key_2, n_both, n_union of different texts r).
+
+    Equal texts of a block are one, r, with its members; what has no session or block is in no pair.
+    """
+    a = spread(table(spark, d, "source_video_atom")).where("visible_text is not null").select("atom_id", *_BLOCK, "session_id", lower_collapse("visible_text").alias("x")).where("x <> ''").dropDuplicates(["atom_id"])
+    a = a.dropna(subset=[*_BLOCK, "session_id"]).withColumn("i", F.monotonically_increasing_id())
+    members = stage(a.withColumn("r", F.min("i").over(Window.partitionBy(*_BLOCK, "x"))), "near-texts")
+    forget(spark)
+    return members, close_pairs(members.where("i = r"), "i", char_trigrams("x"), "0.92", _BLOCK)
+
+
+def _n_near(near):
+    """n_near_pairs: how many pairs of members of different sessions there are, without making them."""
+    members, pairs = near
+    by_session = stage(members.groupBy("r", "session_id").agg(F.count("*").alias("n")), "near-sessions")
+    total = by_session.groupBy("r").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    side = lambda t, x: t.withColumnsRenamed({"r": f"key_{x}", "n": f"n{x}"})
+    near = pairs.select("key_1", "key_2").join(side(total.drop("nn"), 1), "key_1").join(side(total.drop("nn"), 2), "key_2")
+    same = pairs.select("key_1", "key_2").join(side(by_session, 1), "key_1").join(side(by_session, 2), ["key_2", "session_id"])
+    product = F.col("n1") * F.col("n2")
+    parts = [total.select(((F.col("n") * F.col("n") - F.col("nn")) / 2).cast("bigint").alias("n")), near.select(product.alias("n")), same.select((-product).alias("n"))]
+    return parts[0].union(parts[1]).union(parts[2]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_near_pairs"))
 
 
 @query("near_dup_pairs", f"WITH {_NEAR} SELECT key_1, key_2, n_both, n_union FROM near")
 def near_dup_pairs(spark, d):
     """JN4, AG6, PRJ12-13, FLT5: near-duplicate texts of one participant and day in different sessions, exactly."""
-    return _near(spark, d)
+    members, pairs = _near(spark, d)
+    side = lambda x: members.select(F.col("r").alias(f"key_{x}"), F.col("atom_id").alias(f"a{x}"), F.col("session_id").alias(f"s{x}"))
+    near = pairs.join(side(1), "key_1").join(side(2), "key_2").where("s1 <> s2").select("a1", "a2", "n_both", "n_union")
+    n = members.where("i = r").select(F.col("r").alias("key_2"), F.size(F.array_distinct(char_trigrams("x"))).alias("n_both"))
+    copies = side(1).withColumnRenamed("key_1", "key_2").join(side(2), "key_2").where("a1 < a2 and s1 <> s2").join(n, "key_2").select("a1", "a2", "n_both", F.col("n_both").alias("n_union"))
+    return near.union(copies).select(F.least("a1", "a2").alias("key_1"), F.greatest("a1", "a2").alias("key_2"), "n_both", "n_union")
 
 
 _LINKS = f"""{_NEAR}, a AS (SELECT DISTINCT atom_id, 'g:' || source_group_id AS g, 's:' || session_id AS s, 'w:' || CASE WHEN lower(trim(world_event_id)) NOT IN ('', 'none', 'n/a') THEN trim(world_event_id) END AS w FROM source_video_atom),
@@ -38,20 +67,22 @@ r AS (SELECT u AS node, v AS other FROM b UNION SELECT r.node, b.v FROM r JOIN b
 c AS (SELECT node, min(other) AS component FROM r GROUP BY node)"""
 
 
-def _links(spark, d):
+def _links(spark, d, near):
     event = F.when(~F.lower(F.trim("world_event_id")).isin("", "none", "n/a"), F.trim("world_event_id"))
     rows = table(spark, d, "source_video_atom")
     a = rows.select(F.concat(F.lit("g:"), "source_group_id").alias("g"), F.concat(F.lit("s:"), "session_id").alias("s"), F.concat(F.lit("w:"), event).alias("w")).distinct()
     named = a.select("s", F.explode(F.array("g", "w")).alias("u")).where("u is not null and s is not null").distinct()
-    session = rows.select("atom_id", F.concat(F.lit("s:"), "session_id").alias("session")).distinct()
-    pairs = _near(spark, d).select("key_1", "key_2")
-    first = session.withColumnsRenamed({"atom_id": "key_1", "session": "s"})
-    second = session.withColumnsRenamed({"atom_id": "key_2", "session": "u"})
-    return named.unionByName(pairs.join(first, "key_1").join(second, "key_2").select("s", "u").distinct())
+    members, pairs = near
+    # All sessions of a text hang at its first one, and the first ones of two near texts together: the same components as of all pairs.
+    session = members.select("r", F.concat(F.lit("s:"), "session_id").alias("s")).distinct()
+    first = session.groupBy("r").agg(F.min("s").alias("u"))
+    copies = session.join(first, "r").select("s", "u")
+    close = pairs.join(first.withColumnsRenamed({"r": "key_1", "u": "s"}), "key_1").join(first.withColumnRenamed("r", "key_2"), "key_2").select("s", "u")
+    return named.unionByName(copies.union(close).where("s <> u").distinct())
 
 
-def _components(spark, d):
-    return stage(connected_components(_links(spark, d), "u", "s"), "components")
+def _components(spark, d, near=None):
+    return stage(connected_components(_links(spark, d, near or _near(spark, d)), "u", "s"), "components")
 
 
 @query("dup_components", f"WITH RECURSIVE {_LINKS} SELECT node, component FROM c")
@@ -63,8 +94,9 @@ def dup_components(spark, d):
 @query("component_links", f"WITH RECURSIVE {_LINKS} SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components, count(*) - count(DISTINCT component) AS n_links, (SELECT count(*) FROM near) AS n_near_pairs FROM c")
 def component_links(spark, d):
     """GR1: how many links joined components, whatever their order: nodes less components."""
-    counted = _components(spark, d).agg(F.count("*").alias("n_nodes"), F.countDistinct("component").alias("n_components"))
-    return counted.withColumn("n_links", F.col("n_nodes") - F.col("n_components")).crossJoin(_near(spark, d).agg(F.count("*").alias("n_near_pairs")))
+    near = _near(spark, d)
+    counted = _components(spark, d, near).agg(F.count("*").alias("n_nodes"), F.countDistinct("component").alias("n_components"))
+    return counted.withColumn("n_links", F.col("n_nodes") - F.col("n_components")).crossJoin(_n_near(near))
 
 
 @query(
