@@ -407,3 +407,26 @@ def test_components_write_no_sets_and_count_copies(spark, monkeypatch, tmp_path)
     assert [tuple(r) for r in allocation_queries.component_links(spark, "").collect()] == [(10, 3, 7, 48)]
     assert len(allocation_queries.near_dup_pairs(spark, "").collect()) == 48
     assert not [x for x in written if "array" in x]
+
+
+def test_components_broadcast_nothing_that_grows(spark, monkeypatch):
+    from tidemark.plans import allocation_queries
+
+    names = "atom_id string, participant_source_id string, source_day string, session_id string, source_group_id string, world_event_id string, visible_text string"
+    text = "a person with a cap fills the spare label printer near the window seat of the hall again"
+    df = spark.createDataFrame([(f"a{i}", "P", "D", f"s{i % 3}", f"g{i % 3}", None, text + "." * (i % 2)) for i in range(12)], names)
+    monkeypatch.setattr(allocation_queries, "table", lambda *_: df)
+    plans = []
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    for where in (setsim, allocation_queries, graph):
+        monkeypatch.setattr(where, "stage", lambda x, name="stage", plain=staging.stage: plans.append(plan(x)) or plain(x, name))
+    # Small tables are broadcast wherever the plan leaves it to their size; only bounded lists of ids may be.
+    monkeypatch.setattr(graph.connected_components, "__defaults__", ("u", "v", 60, 1))
+    for few in (0, setsim.FEW):
+        plans.clear()
+        monkeypatch.setattr(setsim, "FEW", few)
+        out = allocation_queries.component_links(spark, "")
+        joins = [x for p in [*plans, plan(out)] for x in p.splitlines() if "BroadcastHashJoin" in x]
+        assert bool(joins) == (few > 0) and all("LeftSemi" in x for x in joins)
+        assert any("SortMergeJoin" in p for p in plans)
+        assert [tuple(r) for r in out.collect()] == [(6, 1, 5, 48)]

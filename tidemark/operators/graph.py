@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import release, stage
+from tidemark.plans.staging import merged, release, stage
 
 #: Edges that one task solves by itself; more are solved in rounds.
 ONE_TASK = 500_000
@@ -65,15 +65,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         # Large star: every larger neighbour of a node goes to the smallest around it.
         both = e.where("u <> v").select("u", "v").union(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: a node and its smaller neighbours go to the smallest of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(merged(low), "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         before, e = e, stage(small, "cc")
         if before is not first:  # the first one holds the nodes
             release(before)
         new = _state(e)
         if new == state:
-            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            return nodes.join(merged(e.select(F.col("u").alias("node"), F.col("v").alias("component"))), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         state = new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import forget, release, stage
+from tidemark.plans.staging import forget, merged, release, stage
 
 #: Different tokens whose order travels to every task, sixteen bytes each; more are ordered by a join and a window.
 KNOWN = 1_000_000
@@ -178,15 +178,15 @@ def close_pairs(rows: DataFrame, key: str, tokens: Column, threshold: str, block
 
     sets = rows.select(F.col(key).alias("i"), F.xxhash64(*block).alias("b"), F.array_distinct(tokens).alias("set")).where(F.size("set") > 0)
     parts = sets.mapInArrow(run, "part bigint, i bigint")
-    a, b = parts.alias("a"), parts.alias("b")
+    a, b = merged(parts).alias("a"), parts.alias("b")
     met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.i").alias("key_1"), F.col("b.i").alias("key_2")).distinct()
     met = stage(met, "close-met")
     forget(spark)
     wanted = met.select(F.explode(F.array("key_1", "key_2")).alias(key)).distinct()
     few = met.limit(FEW + 1).count() <= FEW
-    some = rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi").select(key, *block, F.array_distinct(tokens).alias("set"))
+    some = rows.join(F.broadcast(wanted) if few else merged(wanted), key, "left_semi").select(key, *block, F.array_distinct(tokens).alias("set"))
     side = lambda x: some.select(F.col(key).alias(f"key_{x}"), F.struct(*block).alias(f"b{x}"), F.col("set").alias(f"s{x}"))
-    both = met.join(side(1), "key_1").join(side(2), "key_2").where("b1 = b2")
+    both = met.join(merged(side(1)), "key_1").join(merged(side(2)), "key_2").where("b1 = b2")
     shared = F.size(F.array_intersect("s1", "s2"))
     counted = both.select("key_1", "key_2", shared.alias("n_both"), (F.size("s1") + F.size("s2") - shared).alias("n_union"))
     out = stage(counted.where(F.col("n_both") * den >= F.col("n_union") * num), "close")

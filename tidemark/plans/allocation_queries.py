@@ -10,7 +10,7 @@ from tidemark.operators.allocate import allocate_by_deficit, alternate, greedy_d
 from tidemark.operators.graph import connected_components
 from tidemark.operators.setsim import close_pairs
 from tidemark.plans.registry import query
-from tidemark.plans.staging import forget, spread, stage
+from tidemark.plans.staging import forget, merged, spread, stage
 from tidemark.sources.tables import table
 
 _TEXT = "trim(regexp_replace(lower(visible_text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
@@ -41,7 +41,7 @@ def _n_near(near):
     members, pairs = near
     by_session = stage(members.groupBy("r", "session_id").agg(F.count("*").alias("n")), "near-sessions")
     total = by_session.groupBy("r").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    side = lambda t, x: t.withColumnsRenamed({"r": f"key_{x}", "n": f"n{x}"})
+    side = lambda t, x: merged(t.withColumnsRenamed({"r": f"key_{x}", "n": f"n{x}"}))
     near = pairs.select("key_1", "key_2").join(side(total.drop("nn"), 1), "key_1").join(side(total.drop("nn"), 2), "key_2")
     same = pairs.select("key_1", "key_2").join(side(by_session, 1), "key_1").join(side(by_session, 2), ["key_2", "session_id"])
     product = F.col("n1") * F.col("n2")
@@ -76,8 +76,8 @@ def _links(spark, d, near):
     # All sessions of a text hang at its first one, and the first ones of two near texts together: the same components as of all pairs.
     session = members.select("r", F.concat(F.lit("s:"), "session_id").alias("s")).distinct()
     first = session.groupBy("r").agg(F.min("s").alias("u"))
-    copies = session.join(first, "r").select("s", "u")
-    close = pairs.join(first.withColumnsRenamed({"r": "key_1", "u": "s"}), "key_1").join(first.withColumnRenamed("r", "key_2"), "key_2").select("s", "u")
+    copies = session.join(merged(first), "r").select("s", "u")
+    close = pairs.join(merged(first.withColumnsRenamed({"r": "key_1", "u": "s"})), "key_1").join(merged(first.withColumnRenamed("r", "key_2")), "key_2").select("s", "u")
     return named.unionByName(copies.union(close).where("s <> u").distinct())
 
 
